@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import packing, quality, simhash, token_store, topk_search
+from quillspark.llm import chat_format, language_id, packing, quality, simhash, token_store, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,23 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted, masked and read back."""
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    return chat_format.read_back(chat_format.format_conversations(turns.union(extra), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned on two of three folds."""
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda c: F.crc32(F.col(c).cast("string")) % 3
+    model = language_id.train(language_id.training_rows(docs, fold("doc_id") != 1))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and the importance verdict of every document."""
     out = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -56,7 +73,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op3_pack_documents, op4_token_store, op8_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op3_pack_documents, op4_token_store, op5_chat_format, op7_language_id, op8_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
