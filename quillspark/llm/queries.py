@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, language_id, packing, quality, simhash, token_store, topk_search
+from quillspark.llm import chat_format, language_id, line_dedup, packing, quality, simhash, token_store, topk_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that fuzzy dedup leaves it."""
+    out, count = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", count)
+
+
 def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 2048 ids."""
     out = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
@@ -73,7 +79,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op3_pack_documents, op4_token_store, op5_chat_format, op7_language_id, op8_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_pack_documents, op4_token_store, op5_chat_format, op7_language_id, op8_quality_rules, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
