@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, language_id, line_dedup, packing, quality, simhash, token_store, topk_search
+from quillspark.llm import chat_format, language_id, line_dedup, mixing, packing, quality, simhash, token_store, topk_search, warc_audit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,19 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.union(extra), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived in two replicas, audited and read back."""
+    out = warc_audit.audited_archive(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "payload_bytes", "payload_sha256", "intact")
+
+
+OP6_SQL = """
+select page_id, coalesce(url, '') as url, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
+  sha256(coalesce(html, '')) as payload_sha256, true as intact
+from pages
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned on two of three folds."""
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +85,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+#: Shares of the expected tokens by domain of the labels table.
+MIX_WEIGHTS = {"clean": 0.96, "toxic": 0.02, "low": 0.02}
+
+
+def op9_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")), MIX_WEIGHTS)[0]
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -79,8 +101,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_pack_documents, op4_token_store, op5_chat_format, op7_language_id, op8_quality_rules, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_pack_documents, op4_token_store, op5_chat_format, op6_warc_fixity, op7_language_id, op8_quality_rules, op9_mix_to_targets, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op6_warc_fixity": OP6_SQL}
