@@ -1,6 +1,6 @@
 """All queries on the reference shapes; importing this package registers them."""
 
-from quillspark.plans import relational
+from quillspark.plans import corpus, relational
 from quillspark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "relational"]
+__all__ = ["QUERIES", "SQL", "corpus", "relational"]
