@@ -240,3 +240,18 @@ split_sentences = _udf(split_sentences_text, T.ArrayType(T.StringType()))
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else similarity_texts(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def similarity_from(least: float):
+    """similarity, null below least; two cheap upper bounds settle most pairs before blocks are matched."""
+
+    def one(a: str, b: str) -> float | None:
+        x, y = ("".join(t.split()).lower() for t in (a, b))
+        m = SequenceMatcher(None, x, y, autojunk=False)
+        return r if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least else None
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run

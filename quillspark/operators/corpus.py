@@ -99,7 +99,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_length:
 
     Blocks of more than `block` texts are skipped, as the feature defines it; exact copies are left out.
     """
-    from quillspark.functions.text import similarity
+    from quillspark.functions.text import similarity_from
 
     rows = df.where(F.length(text_col) >= min_length).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     grams = rows.select("i", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(head)) - 3, F.lit(step)), lambda p: F.substr(F.col("t"), p, F.lit(4))))).alias("g"))
@@ -108,4 +108,4 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_length:
     pairs = kept.alias("x").join(kept.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i"))).select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
     both = pairs.join(rows.select(F.col("i").alias("a"), F.col("t").alias("s")), "a").join(rows.select(F.col("i").alias("b"), F.col("t").alias("u")), "b").where("s <> u")
     both = both.where(2 * F.least(F.length("s"), F.length("u")) >= least * (F.length("s") + F.length("u")))
-    return both.select("a", "b", similarity(F.col("s"), F.col("u")).alias("ratio")).where(F.col("ratio") >= least)
+    return both.select("a", "b", similarity_from(least)("s", "u").alias("ratio")).where("ratio is not null")
