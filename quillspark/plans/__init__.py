@@ -1,6 +1,6 @@
 """All queries on the reference shapes; importing this package registers them."""
 
-from quillspark.plans import corpus, pages, relational
+from quillspark.plans import corpus, more, pages, relational
 from quillspark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus", "pages", "relational"]
+__all__ = ["QUERIES", "SQL", "corpus", "more", "pages", "relational"]
