@@ -51,3 +51,31 @@ def loss(amount: Column, defence: Column) -> Column:
 
 def recycle_gain(spare: Column, grade: Column, cap: int = 100_000) -> Column:
     return F.least(spare * grade * grade * 20, F.lit(cap))
+
+
+def success_chance(base: Column, bonus: Column, least: float = 0.05, most: float = 0.95) -> Column:
+    return F.greatest(F.lit(least), F.least(F.lit(most), base + bonus))
+
+
+def advanced(stage: Column, points: Column, need: Column, chance: Column, draw: Column, defence: Column) -> tuple[Column, Column]:
+    """(stage, points) after an attempt: a step up for the points on success, a softened loss on failure, nothing without them.
+
+    draw: a uniform number of the row, so that results can be repeated.
+    """
+    able, won = points >= need, draw < chance
+    return stage + (able & won).cast("int"), F.when(able & won, points - need).when(able, points - loss(points, defence)).otherwise(points)
+
+
+def live_streak(streak: Column, last_day: Column, today: Column) -> Column:
+    """The stored streak if it reaches yesterday, else 0."""
+    return F.when(F.datediff(today, last_day) <= 1, streak).otherwise(0)
+
+
+def next_streak(streak: Column, last_day: Column, today: Column) -> Column:
+    """The streak after reading today: unchanged today, one more from yesterday, else 1."""
+    gap = F.datediff(today, last_day)
+    return F.when(gap == 0, streak).when(gap == 1, streak + 1).otherwise(1)
+
+
+def state_json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())))

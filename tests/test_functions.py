@@ -122,3 +122,97 @@ def test_streaming(spark, tmp_path):
     q = E.health(stream).writeStream.format("memory").queryName("health").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("health").count() > 0
+
+
+def test_style(spark):
+    from quillspark.functions import style as S
+
+    df = spark.createDataFrame([("他笑了。", "Nàng cười."), ("她笑了。", "Hắn cười."), ("笑了。", "Hắn cười."), ("他们笑了。", "Cười.")], "s string, t string")
+    got = df.select(S.fix_lead_gender(F.col("s"), F.col("t")).alias("f"), S.invents_subject(F.col("s"), F.col("t")).alias("i")).collect()
+    assert [r.f for r in got] == ["Hắn cười.", "Nàng cười.", "Hắn cười.", "Cười."] and [r.i for r in got] == [False, False, True, False]
+    best = spark.createDataFrame([("他说。", ["Tôi nói.", "Nói. Rồi.", "Nói. Xong."])], "s string, c array<string>")
+    assert best.select(S.best_of(F.col("s"), F.col("c")).alias("b")).first()["b"] == "Nói. Rồi."
+    types = spark.createDataFrame([("“好。”他说，“走。”",), ("他走了。",), ("开口说道，a，b，c。",)], "s string").select(S.sentence_types(F.col("s")).alias("t")).collect()
+    assert [r.t for r in types] == [["dialogue", "several_turns"], ["narration", "pronoun_subject"], ["narration", "dropped_subject", "comma_chain"]]
+    assert S.repeat_budget_of("三十年河东三十年河西") == 2 and S.repeat_budget_of("") == 1
+    assert S.join_parts(["Hắn đi,", "Và nói.", "Nàng cười"]) == "Hắn đi, và nói. Nàng cười"
+    assert S.without_echo("tail of the earlier text here", "tail of the earlier text\nnew") == "new"
+    assert S.apply_fixes("aaaa bbbb", [("aaaa", "cccc"), ("bbbb", "b"), ("zz", "y")]) == ("cccc bbbb", 1)
+    rules = S.rhythm_rules(F.col("s"), F.col("t"), F.lit("x"))
+    rows = spark.createDataFrame([("他，走，了。", "Hắn đi rồi. Nàng  ở lại."), ("a" * 40 + "。", "B" * 51 + ". " + "C" * 51 + ".")], "s string, t string")
+    assert [r.r for r in rows.select(G.first_reason(rules).alias("r")).collect()] == ["double_space", None]
+
+
+def test_queue(spark):
+    from quillspark.operators import queue as Q
+
+    jobs = spark.createDataFrame([(1, "chapter", 1, 10, "pending", 5, 1), (2, "chapter", 1, 11, "pending", 1, 2), (3, "chapter", 2, 20, "pending", 5, 3), (4, "chapter", 2, 21, "running", 5, 3), (5, "metadata", 3, None, "pending", 9, 1), (6, "chapter", 3, 30, "pending", 1, 1)], "id int, type string, novel_id int, chapter_id int, status string, priority int, created_at int")
+    chapters = spark.createDataFrame([(10, 1, 1, "c", "queued"), (11, 1, 2, "c", "queued"), (20, 2, 1, "c", "queued"), (21, 2, 2, "c", "queued"), (30, 3, 1, "c", "queued"), (31, 3, 2, None, "none"), (40, 4, 1, "c", "queued")], "id int, novel_id int, chapter_index int, content string, translation_status string")
+    assert [r.id for r in Q.claimable(jobs, chapters).collect()] == [1, 5]
+    lost, idle = Q.orphans(chapters, jobs)
+    assert [r.id for r in lost.collect()] == [40] and idle.count() == 0
+    plan = {r.chapter_index: r.action for r in Q.translation_request(chapters, jobs, 3, 1, 3).collect()}
+    assert plan == {1: "leave", 2: "queue", 3: "create"}
+    states = spark.createDataFrame([(1, "running", 3, 5), (2, "running", 1, 5), (3, "running", 1, 50), (4, "done", 9, 1)], "id int, status string, attempts int, locked_at int")
+    assert [r.status for r in Q.requeued(states, F.lit(10)).orderBy("id").collect()] == ["failed", "pending", "running", "done"]
+    done = Q.finished(states.withColumn("max_attempts", F.lit(3)), spark.createDataFrame([(1, False, False), (2, False, True), (3, True, False)], "id int, ok boolean, deferred boolean"))
+    assert [(r.status, r.attempts) for r in done.orderBy("id").collect()] == [("failed", 3), ("pending", 0), ("done", 1), ("done", 9)]
+    ticks = spark.createDataFrame([("a", i, i == 2) for i in range(8)] + [("b", 1, True)], "source string, tick int, ok boolean")
+    assert sorted(tuple(r) for r in Q.source_status(ticks).collect()) == [("a", 5, True), ("b", 0, False)]
+    toc = lambda rows: spark.createDataFrame(rows, "novel_id int, chapter_index int, source_chapter_id string")
+    assert sorted(tuple(r) for r in Q.toc_changes(toc([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")]), toc([(1, 1, "a"), (1, 2, "x"), (1, 4, "d")])).collect()) == [(1, 2, "remapped"), (1, 3, "gone"), (1, 4, "added")]
+
+
+def test_evaluation(spark):
+    from quillspark.operators import evaluation as V
+
+    df = spark.createDataFrame([("m", "他说3。", "x", "Hắn nói 3.", "Hắn nói 3."), ("m", "笑了4。", "她", "Hắn cười 5.", "cười 4.")], "model string, source string, context string, output string, reference string")
+    row = V.summary(V.scored(df), "model").first()
+    assert (row.n, row.digit_fail, row.quote_fail, row.structural_defects) == (2, 1, 0, 1) and 0.5 < row.similarity < 1
+    free = V.reference_free(df).first()
+    assert (free.lines, free.subject_dropped, free.invented, free.invented_wrong_gender, free.gender_known, free.gender_wrong) == (2, 1, 1, 1, 1, 0)
+
+
+def test_recipes(spark):
+    from quillspark.operators import recipes as P
+
+    lines = spark.createDataFrame([(["他来了3。", "装备BOSS掉了。", "天黑。"], ["Hắn đến 3.", "Rơi BOSS rồi.", "Trời tối."], "pro"), (["天黑。"], ["Trời đã tối."], "flash"), (["a"], ["b", "c"], "x")], "zh_lines array<string>, vi_lines array<string>, teacher_tier string")
+    flat = P.aligned_lines(lines, "zh_lines", "vi_lines", "teacher_tier")
+    assert flat.count() == 4
+    none = spark.createDataFrame([], "h string")
+    got = P.teacher_candidates(flat, none, 1, 1)
+    assert {(r.domain, r.source) for r in got.collect()} == {("general", "他来了3。"), ("game", "装备BOSS掉了。")}
+    with pytest.raises(ValueError, match="general"):
+        P.teacher_candidates(flat, none, 2, 1)
+    pairs = P.context_pairs(flat.where("teacher_tier = 'pro'"), ["teacher_tier"], 1).orderBy("pos").collect()
+    assert [r.input for r in pairs] == ["他来了3。", "他来了3。⟪ctx⟫装备BOSS掉了。", "装备BOSS掉了。⟪ctx⟫天黑。"]
+    gate = P.corpus_gate(spark.createDataFrame([(0, "甲", "a"), (1, "甲", "b"), (2, "乙", "乙"), (3, "", "c")], "o int, source string, target string"), "o")
+    assert {r.reason: r.n for r in gate["reasons"].collect()} == {"duplicate": 1, "script_leak": 1, "missing": 1} and gate["approved"].count() == 1
+    rows = spark.createDataFrame([("s%d" % i, "t", "a" if i % 2 else "b") for i in range(20)] + [("s1", "u", "a")], "source string, target string, tier string")
+    assert {r.tier: r["count"] for r in P.replay_quota(rows, {"a": 3, "b": 50}).groupBy("tier").count().collect()} == {"a": 3, "b": 10}
+    pool = spark.createDataFrame([(f"k{i}", "d") for i in range(10)], "k string, d string")
+    assert {r.batch: r["count"] for r in P.review_batches(pool, pool.limit(1), "k", "d", 4, 2).groupBy("batch").count().collect()} == {0: 4, 1: 4}
+    with pytest.raises(ValueError, match="approved"):
+        P.merge_approved(pool, pool.limit(2), "k")
+    assert P.merge_approved(pool, pool.limit(2), "k", "skip").count() == 10 and P.training_mix(pool.limit(2), pool, F.col("k"), 3).count() == 15
+
+
+def test_terms(spark):
+    from quillspark.operators import terms as W
+
+    rows = spark.createDataFrame([("林风", " Lâm Phong ", "person", "Lâm Phong"), ("林风", "Lin Feng", "person", "Lâm Phong"), ("x", "y", "person", None), ("天山", "山", "place", "Thiên Sơn")], "term string, right string, kind string, reading string")
+    assert [(r.right, r.note) for r in W.prepared(rows).collect()] == [("Lâm Phong", None), ("Lin Feng", "doubtful")]
+    assert [r.s for r in rows.select(W.safe_pending(F.col("kind"), F.trim("right"), F.col("reading")).alias("s")).collect()][:2] == [True, True]
+    stored = spark.createDataFrame([(1, "甲", "Lin", "Lâm"), (1, "乙", None, "Lin Gia"), (2, "丙", None, "Lin Gia")], "g int, term string, wrong string, right string")
+    assert [(r.term, r.wrong, r.right) for r in W.healed(stored, "g").collect()] == [("乙", "Lin Gia", "Lâm Gia")]
+    assert W.overrides(stored.select("term", "right"), spark.createDataFrame([("甲", "Lâm"), ("乙", "Nhà Lâm")], "term string, right string")).first()["right"] == "Nhà Lâm"
+    todo = spark.createDataFrame([("a", "Lam Phong", None), ("b", "Lâm Phong", "doubtful"), ("c", "Something", None), ("d", "", None)], "term string, right string, note string").withColumns({"approved": F.lit(False), "created_by": F.lit(None).cast("string")})
+    assert {r.term: r.action for r in W.actions(todo, F.lit("Lâm Phong")).collect()} == {"a": "fix", "b": "clear", "c": "flag", "d": "drop"}
+
+
+def test_game_states(spark):
+    df = spark.createDataFrame([(1, 100, 50, 0.5, 0.4, 0), (1, 100, 50, 0.5, 0.6, 0), (1, 10, 50, 0.5, 0.4, 0)], "s int, p int, n int, c double, d double, f int")
+    stage, points = game.advanced(*(F.col(c) for c in "spncdf"))
+    assert [tuple(r) for r in df.select(stage.alias("a"), points.alias("b")).collect()] == [(2, 50), (1, 70), (1, 10)]
+    days = spark.sql("select 4 as s, date'2024-01-02' as l, t from values (date'2024-01-02'), (date'2024-01-03'), (date'2024-01-05') as v(t)")
+    assert sorted(tuple(r) for r in days.select(game.live_streak(F.col("s"), F.col("l"), F.col("t")).alias("a"), game.next_streak(F.col("s"), F.col("l"), F.col("t")).alias("b")).collect()) == [(0, 1), (4, 4), (4, 5)]
