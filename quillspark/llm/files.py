@@ -23,7 +23,16 @@ def write_file(uri: str, parts) -> None:
     where, path = _resolve(uri)
     folder, _, name = path.rpartition("/")
     part = f"{folder}/_{name}.{uuid.uuid4().hex}"
-    with where.open_output_stream(part) as f:
+    with where.open_output_stream(part, compression=None) as f:
         for x in parts:
             f.write(x)
     where.move(part, path)
+
+
+def read_file(uri: str) -> bytes | None:
+    """The bytes of a file, None if there is none."""
+    where, path = _resolve(uri)
+    if where.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with where.open_input_stream(path, compression=None) as f:
+        return f.readall()

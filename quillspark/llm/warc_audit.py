@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import fresh_path, written
-from quillspark.llm.files import make_dir, write_file
+from quillspark.llm.files import make_dir, read_file, write_file
 
 FANOUT, LEVELS, DATE = 16, 4, "1970-01-01T00:00:00Z"  # LEVELS above the records: 65,536 records a file at most
 
@@ -82,11 +82,10 @@ def write_archive(pages: DataFrame, paths: list[str], file_bytes: int = 8_000_00
     return written(rows.mapInArrow(run, "file string, rec int, offset long, length long"), "warc-index")
 
 
-def _files(spark, path: str, index: DataFrame) -> DataFrame:
-    """(file, content, at): the files of a replica with their records' places in order."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return found.join(index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rec", "offset", "length"))).alias("at")), "file")
+def _places(index: DataFrame) -> DataFrame:
+    """(file, at): the records' places of each file in order, a task's share of files each; contents are not shuffled."""
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rec", "offset", "length"))).alias("at")).repartition(tasks, "file")
 
 
 def tree(content: bytes, at: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bytes]]:
@@ -103,16 +102,18 @@ def tree(content: bytes, at: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return out
 
 
-def trees(spark, path: str, index: DataFrame) -> DataFrame:
-    """(file, level, node, first, end, hash) of all files of a replica, written."""
+def trees(path: str, index: DataFrame) -> DataFrame:
+    """(file, level, node, first, end, hash) of all files of a replica, written; a missing file has no nodes."""
 
     def run(batches):
         for b in batches:
-            for name, content, at in zip(*(b.column(i) for i in range(3)), strict=True):
-                rows = tree(content.as_py(), [(x["rec"], x["offset"], x["length"]) for x in at.as_py()])
-                yield pa.RecordBatch.from_pydict({"file": pa.array([name.as_py()] * len(rows)), **{k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("level", pa.int32()), ("node", pa.int32()), ("first", pa.int64()), ("end", pa.int64()), ("hash", pa.binary())))}})
+            for name, at in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                content = read_file(f"{path}/{name}")
+                if content is not None:
+                    rows = tree(content, [(x["rec"], x["offset"], x["length"]) for x in at.as_py()])
+                    yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(rows)), **{k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("level", pa.int32()), ("node", pa.int32()), ("first", pa.int64()), ("end", pa.int64()), ("hash", pa.binary())))}})
 
-    return written(_files(spark, path, index).mapInArrow(run, "file string, level int, node int, first long, end long, hash binary"), "merkle")
+    return written(_places(index).mapInArrow(run, "file string, level int, node int, first long, end long, hash binary"), "merkle")
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -135,30 +136,30 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return found.select("file", F.col("node").alias("rec"), F.coalesce("a.first", "b.first").alias("first"), F.coalesce("a.end", "b.end").alias("end"))
 
 
-def records(spark, path: str, index: DataFrame) -> DataFrame:
+def records(path: str, index: DataFrame) -> DataFrame:
     """(file, rec, page_id, url, payload_bytes, payload_sha256) read back from a replica; nulls where bytes don't parse."""
 
     def run(batches):
         kinds = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()))
         for b in batches:
-            for name, content, at in zip(*(b.column(i) for i in range(3)), strict=True):
-                data, rows = content.as_py(), []
-                for x in at.as_py():
+            for name, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data, rows = read_file(f"{path}/{name}") or b"", []
+                for x in at:
                     try:
                         page, url, payload = parse(gzip.decompress(data[x["offset"] : x["offset"] + x["length"]]))
                         rows.append((page, url, len(payload), sha256(payload).hexdigest()))
                     except (EOFError, KeyError, OSError, ValueError, zlib.error):
                         rows.append((None,) * 4)
-                yield pa.RecordBatch.from_pydict({"file": pa.array([name.as_py()] * len(rows)), "rec": pa.array([x["rec"] for x in at.as_py()], pa.int32()), **{k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds)}})
+                yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(rows)), "rec": pa.array([x["rec"] for x in at], pa.int32()), **{k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds)}})
 
-    return _files(spark, path, index).mapInArrow(run, "file string, rec int, page_id long, url string, payload_bytes long, payload_sha256 string")
+    return _places(index).mapInArrow(run, "file string, rec int, page_id long, url string, payload_bytes long, payload_sha256 string")
 
 
 def audited_archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     """(page_id, url, payload_bytes, payload_sha256, intact, file, rec): pages archived twice, audited and read back."""
-    spark, path = pages.sparkSession, path or fresh_path(pages.sparkSession, "warc")
+    path = path or fresh_path(pages.sparkSession, "warc")
     one, two = os.path.join(path, "replica-1"), os.path.join(path, "replica-2")
     index = write_archive(pages, [one, two])
-    bad = differing(trees(spark, one, index), trees(spark, two, index)).select("file", "rec", F.lit(False).alias("ok"))
-    out = records(spark, one, index).join(bad, ["file", "rec"], "left")
+    bad = differing(trees(one, index), trees(two, index)).select("file", "rec", F.lit(False).alias("ok"))
+    out = records(one, index).join(bad, ["file", "rec"], "left")
     return out.select("page_id", "url", "payload_bytes", "payload_sha256", F.coalesce("ok", F.lit(True)).alias("intact"), "file", "rec")

@@ -205,10 +205,10 @@ def test_warc_finds_corruption(spark):
         data[at[i]["offset"] + at[i]["length"] // 2] ^= 1
     with open(file, "wb") as f:
         f.write(bytes(data) + b"more")
-    bad = warc_audit.differing(warc_audit.trees(spark, f"{path}/a", index), warc_audit.trees(spark, f"{path}/b", index)).collect()
+    bad = warc_audit.differing(warc_audit.trees(f"{path}/a", index), warc_audit.trees(f"{path}/b", index)).collect()
     assert sorted(r["rec"] for r in bad) == [0, 17, 699, 700]
     os.remove(file)
-    lost = warc_audit.differing(warc_audit.trees(spark, f"{path}/a", index), warc_audit.trees(spark, f"{path}/b", index))
+    lost = warc_audit.differing(warc_audit.trees(f"{path}/a", index), warc_audit.trees(f"{path}/b", index))
     assert lost.count() == 700
 
 
