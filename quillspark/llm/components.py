@@ -41,9 +41,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = spark.read.schema(schema).parquet(path)
     before = _digest(edges)
     for _ in range(max_rounds if before[0] else 0):
-        large = _star(_both(edges), F.col("v") > F.col("u")).distinct()
+        # large star: neighbours above a node point to the least around it; so u > v in every edge
+        arcs = _star(_both(edges), F.col("v") > F.col("u")).distinct()
         # small star: each node keeps its smaller neighbours and points them, and itself, to the least of them
-        arcs = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = arcs.groupBy("u").agg(F.min("v").alias("m"))
         small = arcs.join(least, "u").select(F.explode(F.array("u", "v")).alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         step = fresh_path(spark, "components")
