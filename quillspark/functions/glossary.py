@@ -24,16 +24,26 @@ def reading_candidates(term: str, readings: dict[str, Sequence[str]], cap: int =
     return list(seen)[:cap]
 
 
+def contained(terms: DataFrame, term: str, texts: DataFrame, text: str, q: int = 2) -> DataFrame:
+    """Rows of texts with each row of terms whose term (q characters or more) they contain.
+
+    No theta join: a term's first q characters meet the distinct q-grams of the texts, then containment is tested.
+    """
+    keyed = terms.where(F.length(term) >= q).withColumn("_k", F.substring(term, 1, q))
+    n = F.length(text) - (q - 1)
+    grams = F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col(text), i, F.lit(q)))))
+    rows = texts.withColumn("_k", F.explode(grams))
+    return rows.join(keyed, "_k").where(F.contains(text, term)).drop("_k")
+
+
 def eligible_terms(terms: DataFrame, docs: DataFrame, group: str, text: str, min_length: int = 2) -> DataFrame:
     """(group, doc columns, term): terms contained in the texts of their group or of none.
 
-    Own and global terms are two joins and a union, so the first stays an equi-join; global terms are broadcast by
-    Spark's own size check.
+    Own and global terms are two equi-joins and a union: on the group, and on the texts' bigrams.
     """
     usable = terms.where((F.length("term") >= min_length) & (F.coalesce(F.col("note"), F.lit("")) != "doubtful"))
     own = docs.join(usable.where(F.col(group).isNotNull()), group).where(F.contains(text, "term"))
-    shared = docs.join(usable.where(F.col(group).isNull()).drop(group), F.contains(F.col(text), F.col("term")))
-    return own.unionByName(shared)
+    return own.unionByName(contained(usable.where(F.col(group).isNull()).drop(group), "term", docs, text))
 
 
 def adherence(source: Column, target: Column, terms: Sequence[tuple[str, str, str | None]]) -> tuple[Column, Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import style as S
 from quillspark.functions import text as X
+from quillspark.functions.glossary import contained
 from quillspark.operators import corpus as C
 from quillspark.operators import frames as R
 from quillspark.operators import gates as G
@@ -45,13 +46,10 @@ def join_failed_to_toc(t: Tables) -> DataFrame:
 
 @query("""select distinct a.w as base, b.w as term from (select distinct unnest(string_split(p_name, ' ')) as w from part) a join (select distinct p_name as w from part) b on contains(b.w, a.w) and a.w <> b.w""")
 def join_term_in_term(t: Tables) -> DataFrame:
-    """Terms inside longer terms: an equi-join on the words of a term, no theta join."""
+    """Terms inside longer terms, by bigrams."""
     names = t.part.select(F.col("p_name").alias("term")).distinct()
-    words = names.select("term", F.explode(F.array_distinct(F.split("term", " "))).alias("base"))
-    every = words.select("base").distinct().withColumnRenamed("base", "w")
-    return words.join(every, F.col("base") == F.col("w")).where("base <> term").select("base", "term").union(
-        names.crossJoin(F.broadcast(every)).where(F.contains("term", "w") & (F.col("w") != F.col("term"))).select(F.col("w").alias("base"), "term")
-    ).distinct()
+    words = names.select(F.explode(F.split("term", " ")).alias("base")).distinct()
+    return contained(words, "base", names, "term").where("base <> term").select("base", "term")
 
 
 @query("""with w as (select event_type, ts::date as day, count(*) as n, list_sort(list(value)) as v, max(value) as worst from events group by 1, 2),

@@ -52,6 +52,9 @@ def test_glossary(spark):
     assert ok and done == "Lâm Phong đi"
     lost, ok = glossary.translate_guarded("林风 goes", {"林风": "Lâm Phong"}, lambda s: "nothing")
     assert not ok and lost == "nothing"
+    terms = spark.createDataFrame([(1, "林风", None), (None, "剑", None), (None, "天山", None), (2, "天山", "doubtful")], "g int, term string, note string")
+    docs = spark.createDataFrame([(1, 7, "林风在天山"), (2, 8, "天山"), (3, 9, "山")], "g int, d int, t string")
+    assert sorted((r.d, r.term) for r in glossary.eligible_terms(terms, docs, "g", "t").collect()) == [(7, "天山"), (7, "林风"), (8, "天山")]
     assert glossary.repair_numbers("3比5", "4 trên 6") == "3 trên 5" and glossary.repair_numbers("3万", "4") == "4"
 
 
