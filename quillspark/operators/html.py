@@ -131,3 +131,22 @@ def joined_pages(df: DataFrame, url: str, text: str) -> DataFrame:
     rows = df.groupBy(base.alias("base")).agg(pages.alias("p"))
     run = F.filter("p", lambda x, i: x["n"] == i + 1)
     return rows.select("base", F.size(run).alias("n_pages"), F.array_join(F.transform(run, lambda x: x["t"]), "\n").alias("text"))
+
+
+def toc_order(entries: DataFrame, group: str, marker: str = "is_marker") -> DataFrame:
+    """(group, id, title, chapter_index): entries behind the marker of the main list in order, then those before it
+    reversed, the first of an id kept; without a marker every id at its last place.
+
+    entries: group, pos, id, title, is_marker (one row a marker, whose id is null).
+    """
+    from pyspark.sql import Window
+
+    mark = entries.groupBy(group).agg(F.min(F.when(F.col(marker), F.col("pos"))).alias("_m"))
+    rows = entries.where(~F.col(marker)).join(mark, group)
+    behind = F.col("_m").isNotNull() & (F.col("pos") > F.col("_m"))
+    part = F.when(F.col("_m").isNull() | behind, 0).otherwise(1)
+    key = F.struct(part.alias("a"), F.when(part == 0, F.col("pos")).otherwise(-F.col("pos")).alias("b"))
+    rows = rows.withColumn("_k", key)
+    best = rows.groupBy(group, "id").agg(F.when(F.max("_m").isNull(), F.max(F.struct("_k", "title"))).otherwise(F.min(F.struct("_k", "title"))).alias("_b"))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy("_b._k"))
+    return best.select(group, "id", F.col("_b.title").alias("title"), nth.alias("chapter_index"))

@@ -1,4 +1,4 @@
-"""All queries on the reference shapes; importing this package registers them."""
+"""All queries but those of the llm package; importing this package registers them."""
 
 from quillspark.plans import corpus, more, pages, relational
 from quillspark.plans.registry import QUERIES, SQL

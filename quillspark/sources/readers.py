@@ -21,7 +21,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 def read_multi_tsv(spark: SparkSession, path: str, preferred: dict[str, str] | None = None) -> DataFrame:
     """(key, values) of `key TAB v1|v2`; lines with # are comments; a preferred value goes first."""
     rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)")).select(F.split("value", "\t").alias("p")).where("size(p) >= 2")
-    values = F.filter(F.transform(F.split(F.get("p", F.lit(1)), r"\|"), F.trim), lambda x: x != "")
+    values = F.filter(F.transform(F.split(F.get("p", F.lit(1)), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select(F.trim(F.get("p", F.lit(0))).alias("key"), values.alias("values"))
     if preferred:
         wanted = F.element_at(F.create_map(*[F.lit(x) for kv in preferred.items() for x in kv]), F.col("key"))

@@ -219,3 +219,23 @@ def test_game_states(spark):
     assert [tuple(r) for r in df.select(stage.alias("a"), points.alias("b")).collect()] == [(2, 50), (1, 70), (1, 10)]
     days = spark.sql("select 4 as s, date'2024-01-02' as l, t from values (date'2024-01-02'), (date'2024-01-03'), (date'2024-01-05') as v(t)")
     assert sorted(tuple(r) for r in days.select(game.live_streak(F.col("s"), F.col("l"), F.col("t")).alias("a"), game.next_streak(F.col("s"), F.col("l"), F.col("t")).alias("b")).collect()) == [(0, 1), (4, 4), (4, 5)]
+
+
+def test_repairs(spark):
+    from quillspark.functions import repair as P
+
+    assert one(spark, P.rhythm(F.col("t")), t="Hắn đi ,.. rồi!!  nàng ở  lại . xong...") == "Hắn đi, rồi! Nàng ở lại. Xong..."
+    assert one(spark, P.register(F.col("t")), t="Cô ấy nói “cô ấy đi” rồi anh ta cười") == "Nàng nói “cô ấy đi” rồi hắn cười"
+    assert one(spark, P.stock_phrases(F.col("t")), t="Trên thực tế hắn cười một cái, chẳng lẽ chẳng đi") == "Thật ra hắn bật cười, chẳng lẽ không đi"
+    assert [one(spark, P.title(F.col("t")), t=x) for x in ("«Chương 12: tên mới»", "《甲》", "“Kiếm” bùng nổ", "“toàn bộ”", "Mẫn Diệt”！")] == ["Tên mới", "甲", "“Kiếm” bùng nổ", "Toàn bộ", "Mẫn Diệt!"]
+    assert P.merged_paragraphs_text("A b. C d. E f. G.\n\nOne only") == ["A b. C d. E f. G.", "One only"]
+    assert P.covered_terms_text("abcab", ["ab", "abc", "b"]) == [(0, "abc"), (3, "ab")]
+    assert one(spark, P.genres(F.split("t", ","), {"玄幻": "Huyền huyễn"}), t="玄幻, Action,玄幻,都市") == ["Huyền huyễn", "Action"]
+    assert one(spark, P.omitted_address(F.col("s"), F.col("t"), [("本王", ["bổn vương"]), ("朕", ["trẫm"])]), s="本王和朕", t="Bổn vương") == ["朕"]
+    assert one(spark, P.without_junk_description(F.col("t")), t="简介：好书。小说推荐：别的") == "好书。"
+
+
+def test_toc_order(spark):
+    rows = [("g", 0, "9", "nine", False), ("g", 1, "8", "eight", False), ("g", 2, None, None, True), ("g", 3, "1", "one", False), ("g", 4, "2", "two", False), ("h", 0, "3", "late", False), ("h", 1, "1", "one", False), ("h", 2, "3", "three", False)]
+    out = H.toc_order(spark.createDataFrame(rows, "g string, pos int, id string, title string, is_marker boolean"), "g").orderBy("g", "chapter_index").collect()
+    assert [(r.g, r.id, r.title) for r in out] == [("g", "1", "one"), ("g", "2", "two"), ("g", "8", "eight"), ("g", "9", "nine"), ("h", "1", "one"), ("h", "3", "three")]
