@@ -54,10 +54,11 @@ class Mixer:
 
     def rate(self, tokens: Column, posteriors: Column) -> Column:
         """max(0, r - step . share) over the steps, from r = 1; share = tokens x posteriors / all tokens."""
-        flat = F.split(F.lit(";".join(",".join(map(repr, g)) for g in self.steps)), ";") if self.steps else F.array().cast("array<string>")
-        steps = F.transform(flat, lambda g: F.split(g, ",").cast("array<double>"))
-        dot = lambda g, p: F.aggregate(F.zip_with(g, p, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        return let(posteriors, lambda p: F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - tokens / F.lit(self.total) * dot(g, p))))
+        part = [tokens / F.lit(self.total) * F.get(posteriors, F.lit(i)) for i in range(len(self.domains))]
+        rate = F.lit(1.0)
+        for step in self.steps:
+            rate = F.greatest(F.lit(0.0), rate - sum((F.lit(g) * x for g, x in zip(step, part, strict=True)), F.lit(0.0)))
+        return rate
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
