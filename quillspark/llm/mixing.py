@@ -164,5 +164,5 @@ def mixed_documents(docs: DataFrame, domains: DataFrame, weights: dict[str, floa
         return docs
     fit_rates(written(memberships(docs, mixer, id_col, text_col), "memberships"), mixer, weights, budget)
     words = words_of(F.col(text_col).cast("string"))
-    times = let(words, lambda w: copies(mixer.rate(F.size(w).cast("long"), mixer.posteriors(w)), F.col(id_col)))
+    times = let(words, lambda w: let(mixer.posteriors(w), lambda p: copies(mixer.rate(F.size(w).cast("long"), p), F.col(id_col))))
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.explode(F.array_repeat(F.lit(0), times)).alias("i")).select("row.*")
