@@ -6,7 +6,8 @@ rate, how often it is used, solves the least squares problem that the rates' exp
 rates being 0 or more, by projected gradient steps from rate 1. A step needs only the domains' totals under the present
 rates: one aggregate over a narrow table, with one row of sums to the driver. A rate is a function of the document's
 tokens and posteriors and of the steps so far, so no rate is stored or joined. Steps are scaled by the inverse of the
-domains' second moments, for which step 1 descends.
+domains' second moments over the rows whose rate isn't 0, so that a few suffice; a step that widens the gap is taken back
+and made with the moments of all rows, for which step 1 descends.
 """
 
 from __future__ import annotations
@@ -110,19 +111,31 @@ def fit_rates(narrow: DataFrame, mixer: Mixer, weights: dict[str, float], budget
     top = max(range(d), key=lambda i: scale[i])
     wanted = budget if budget is not None else sums[f"s{top}"] / scale[top]
     mixer.wanted = [w * wanted / mixer.total for w in scale]
-    moments = [[sums[f"g{min(i, j)}_{max(i, j)}"] / mixer.total**2 for j in range(d)] for i in range(d)]
-    ridge = 1e-9 * max(moments[i][i] for i in range(d)) + 1e-300
-    for i in range(d):
-        moments[i][i] += ridge
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def moments(row) -> list[list[float]]:
+        out = [[(row[f"g{min(i, j)}_{max(i, j)}"] or 0.0) / mixer.total**2 for j in range(d)] for i in range(d)]
+        ridge = 1e-9 * max(out[i][i] for i in range(d)) + 1e-300
+        return [[x + ridge * (i == j) for j, x in enumerate(r)] for i, r in enumerate(out)]
+
+    def measured() -> tuple[list[float], list[list[float]]]:
+        rated = narrow.select("n_tokens", "p", mixer.rate(F.col("n_tokens"), F.col("p")).alias("r"))
+        row = rated.agg(*(F.sum(F.col("r") * s).alias(f"s{i}") for i, s in enumerate(share)), *(F.sum(F.when(F.col("r") > 0, share[i] * share[j])).alias(f"g{i}_{j}") for i, j in pairs)).first()
+        return [row[f"s{i}"] / mixer.total for i in range(d)], moments(row)
+
+    gap = lambda: [a - b for a, b in zip(mixer.reached, mixer.wanted, strict=True)]
+    all_rows = free = moments(sums)
     mixer.steps, mixer.reached = [], [sums[f"s{i}"] / mixer.total for i in range(d)]
     for _ in range(max_steps):
-        gap = [a - b for a, b in zip(mixer.reached, mixer.wanted, strict=True)]
-        if max(map(abs, gap)) <= tolerance:
+        before = gap()
+        if max(map(abs, before)) <= tolerance:
             break
-        mixer.steps.append(_solve(moments, gap))
-        r = narrow.select("n_tokens", "p", mixer.rate(F.col("n_tokens"), F.col("p")).alias("r"))
-        row = r.agg(*(F.sum(F.col("r") * s).alias(f"s{i}") for i, s in enumerate(share))).first()
-        mixer.reached = [row[f"s{i}"] / mixer.total for i in range(d)]
+        mixer.steps.append(_solve(free, before))
+        reached, found = measured()
+        if max(abs(a - b) for a, b in zip(reached, mixer.wanted, strict=True)) > max(map(abs, before)):
+            mixer.steps[-1] = _solve(all_rows, before)
+            reached, found = measured()
+        mixer.reached, free = reached, found
     return mixer
 
 
