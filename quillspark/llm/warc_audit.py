@@ -85,7 +85,7 @@ def write_archive(pages: DataFrame, paths: list[str], file_bytes: int = 8_000_00
 def _places(index: DataFrame) -> DataFrame:
     """(file, at): the records' places of each file in order, a task's share of files each; contents are not shuffled."""
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rec", "offset", "length"))).alias("at")).repartition(tasks, "file")
+    return index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("rec", "offset", "length"))).alias("at")).repartition(tasks)
 
 
 def tree(content: bytes, at: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bytes]]:
