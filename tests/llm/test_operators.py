@@ -80,6 +80,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, []))[0].count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def lines_left(spark, lines):
+    return {r["doc_id"] for r in line_dedup.dedup_lines(docs_of(spark, lines))[0].where("text <> ''").collect()}
+
+
+def test_line_dedup_of_lines_with_one_long_word(spark):
+    rng = random.Random(1)
+    rows = [" ".join(["measurements", *(str(rng.randrange(100, 999)) for _ in range(8))]) for _ in range(30)]
+    near = [r.rsplit(" ", 1)[0] + " 7" for r in rows]
+    assert lines_left(spark, rows + near) == set(range(30))
+
+
 # 3
 def test_encoder_is_exact():
     rng, parts = random.Random(1), ["a", "b", " ", "  ", "\n", "\n ", "\t", " ", "é", "́", "1", "'s", "!", "<|endoftext|>", "　", "漢", "\x1c", "\x85", "İ", "Σ", "\r\n", ".", "A"]
