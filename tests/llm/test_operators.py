@@ -100,6 +100,12 @@ def test_line_dedup_of_lines_with_one_long_word(spark):
     assert lines_left(spark, rows + near) == set(range(30))
 
 
+def test_line_dedup_of_short_lines_and_characters(spark):
+    typos = "quarterly reports describe seventeen northern harbours without mentioning lighthouse keepers"
+    lines = ["Chapter twelve", "Chapter twelwe", "Chapter ninety", "end of part one now", "end of part onе now", "漢字文字列", "漢字文字列", "漢字文字列の長い行です", "漢字文字列の長い行でし", typos, typos.replace("qu", "ku").replace("seventeen", "sevemteen").replace("keepers", "keeperz")]
+    assert lines_left(spark, lines) == {0, 2, 3, 5, 7, 9}
+
+
 # 3
 def test_encoder_is_exact():
     rng, parts = random.Random(1), ["a", "b", " ", "  ", "\n", "\n ", "\t", " ", "é", "́", "1", "'s", "!", "<|endoftext|>", "　", "漢", "\x1c", "\x85", "İ", "Σ", "\r\n", ".", "A"]
