@@ -100,6 +100,31 @@ def test_line_dedup_of_lines_with_one_long_word(spark):
     assert lines_left(spark, rows + near) == set(range(30))
 
 
+def test_line_dedup_finds_all_pairs_similar_in_words(spark):
+    rng = random.Random(5)
+    word, lines = lambda: rng.choice(["the", "of", "and"] + [f"w{i}" for i in range(300)]), []
+    for n in [*range(5, 26), 30, 41, 60] * 3:
+        base = [word() for _ in range(n)]
+        lines.append(" ".join(base))
+        for most in (n // 5, max(1, n // 10)):
+            other = list(base)
+            for _ in range(most):
+                k, i = rng.randrange(3), rng.randrange(len(other))
+                other[i : i + (k > 0)] = [word()] if k < 2 else []
+            lines.append(" ".join(other))
+    parent, cut = list(range(len(lines))), [x.split() for x in lines]
+    for j in range(len(lines)):
+        for i in range(j):
+            n = max(len(cut[i]), len(cut[j]))
+            short = max(len(lines[i]), len(lines[j])) <= line_dedup.SHORT
+            if abs(len(cut[i]) - len(cut[j])) * 5 <= n and edits(cut[i], cut[j]) * 5 <= n or short and edits(lines[i], lines[j]) * 5 <= max(len(lines[i]), len(lines[j])):
+                a, b = find(parent, i), find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    first = {find(parent, i) for i in range(len(lines))}
+    left = lines_left(spark, lines)
+    assert left <= first and len(first - left) <= 1  # beyond SHORT, lines similar in characters alone may be linked too
+
+
 def test_line_dedup_of_short_lines_and_characters(spark):
     typos = "quarterly reports describe seventeen northern harbours without mentioning lighthouse keepers"
     lines = ["Chapter twelve", "Chapter twelwe", "Chapter ninety", "end of part one now", "end of part onе now", "漢字文字列", "漢字文字列", "漢字文字列の長い行です", "漢字文字列の長い行でし", typos, typos.replace("qu", "ku").replace("seventeen", "sevemteen").replace("keepers", "keeperz")]
