@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, CHUNK, UNKNOWN = 1 << 17, 512, "und"
@@ -163,22 +163,30 @@ def train(rows: list[tuple[str, str]], seed: int = 7, max_words: int = 300_000,
     return model
 
 
-def training_rows(docs: DataFrame, may_learn: Column, max_docs: int = 1600, max_langs: int = 64, max_chars: int = 6000) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows for the fit: max_docs documents over the max_langs most frequent languages.
+def places_of(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Rows to take of each language: equal shares of total, places that rare ones leave go to the others, one at least."""
+    places, left = {}, total
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        places[lang] = max(1, min(n, left // (len(counts) - i)))
+        left -= places[lang]
+    return places
 
-    About as many of each language, drawn by a hash of text and language so that nothing depends on row order; of each,
-    the first max_chars characters. Prediction has no such bounds.
+
+def training_rows(docs: DataFrame, may_learn: Column, max_docs: int = 1600, max_chars: int = 6000) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows for the fit: max_docs documents over all languages, one of each at least.
+
+    As many of each language as there are, up to an equal share, drawn by a hash of text and language so that nothing
+    depends on row order; of each, the first max_chars characters. Prediction has no such bounds.
     """
     known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    each = max(1, max_docs // len(counts))
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40))
-    share = F.lit(False)
-    for lang, n in counts.items():
-        share = share | ((F.col("lang") == lang) & (F.col("draw") < int((1 << 40) * min(1.0, 1.2 * each / n))))
-    rows = known.withColumn("draw", draw).where(share).select("draw", F.substring("text", 1, max_chars).alias("text"), "lang").orderBy("draw", "lang").limit(max_docs)
+    drawn = known.withColumn("draw", F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40))).select("draw", F.substring("text", 1, max_chars).alias("text"), "lang")
+    places = docs.sparkSession.createDataFrame(list(places_of(counts, max_docs).items()), "lang string, places int")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    most = max(places_of(counts, max_docs).values())
+    rows = drawn.withColumn("nth", nth).where(F.col("nth") <= most).join(F.broadcast(places), "lang").where("nth <= places").orderBy("draw", "lang", "text")
     return [(r["text"], r["lang"]) for r in rows.collect()]
 
 

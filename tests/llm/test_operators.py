@@ -296,6 +296,14 @@ def test_language_id(spark):
     assert language_id.predict(docs_of(spark, []), model).count() == 0 and language_id.training_rows(docs.limit(0), F.lit(True)) == []
 
 
+def test_training_rows_hold_rare_languages(spark):
+    sizes = {f"l{k}": 3000 for k in range(9)} | {"rare": 20}
+    docs = spark.createDataFrame([(f"text {lang} {i}", lang) for lang, n in sizes.items() for i in range(n)], "text string, lang string")
+    got = Counter(lang for _, lang in language_id.training_rows(docs, F.lit(True), max_docs=400))
+    assert got["rare"] == 20 and sum(got.values()) == 400 and set(got.values()) == {20, 42, 43}
+    assert {lang for _, lang in language_id.training_rows(docs, F.lit(True), max_docs=4)} == set(sizes)
+
+
 # 8
 def test_quality(spark):
     rng = random.Random(4)
