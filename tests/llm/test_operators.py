@@ -433,3 +433,12 @@ def test_near_groups(spark):
     kept = near_dedup.keep_first_of_groups(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(parent, i) for i in parent}) and kept.columns == docs.columns
     assert near_dedup.keep_first_of_groups(docs.union(docs)).count() == kept.count() and near_dedup.keep_first_of_groups(docs.limit(0)).count() == 0
+
+
+def test_near_groups_of_texts_with_repeats(spark):
+    rng, texts = random.Random(4), []
+    for i in range(12):
+        plain = [f"t{i}w{rng.randrange(10**6)}" for _ in range(204)]
+        texts += [" ".join(plain), " ".join(plain[:100] + plain[100:105] * 40 + plain[105:])]
+    kept = near_dedup.keep_first_of_groups(docs_of(spark, texts))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(0, 24, 2))
