@@ -25,13 +25,19 @@ def reading_candidates(term: str, readings: dict[str, Sequence[str]], cap: int =
 
 
 def contained(terms: DataFrame, term: str, texts: DataFrame, text: str, q: int = 2) -> DataFrame:
-    """Rows of texts with each row of terms whose term (q characters or more) they contain.
+    """Rows of texts with each row of terms whose term they contain; every text contains an empty term.
 
-    No theta join: a term's first q characters meet the distinct q-grams of the texts, then containment is tested.
+    No theta join: a term's first q characters, or all of a shorter one, meet the distinct runs of up to q characters of
+    the texts, then containment is tested.
     """
-    keyed = terms.where(F.length(term) >= q).withColumn("_k", F.substring(term, 1, q))
-    n = F.length(text) - (q - 1)
-    grams = F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col(text), i, F.lit(q)))))
+    keyed = terms.withColumn("_k", F.substring(term, 1, q))
+    wanted = F.col(text)
+
+    def runs_of(k: int) -> Column:
+        return F.when(F.length(wanted) >= k, F.transform(F.sequence(F.lit(1), F.length(wanted) - (k - 1)), lambda i: F.substr(wanted, i, F.lit(k))))
+
+    none = F.array().cast("array<string>")
+    grams = F.when(wanted.isNotNull(), F.array_distinct(F.concat(F.array(F.lit("")), *(F.coalesce(runs_of(k), none) for k in range(1, q + 1)))))
     rows = texts.withColumn("_k", F.explode(grams))
     return rows.join(keyed, "_k").where(F.contains(text, term)).drop("_k")
 

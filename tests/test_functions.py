@@ -239,3 +239,12 @@ def test_toc_order(spark):
     rows = [("g", 0, "9", "nine", False), ("g", 1, "8", "eight", False), ("g", 2, None, None, True), ("g", 3, "1", "one", False), ("g", 4, "2", "two", False), ("h", 0, "3", "late", False), ("h", 1, "1", "one", False), ("h", 2, "3", "three", False)]
     out = H.toc_order(spark.createDataFrame(rows, "g string, pos int, id string, title string, is_marker boolean"), "g").orderBy("g", "chapter_index").collect()
     assert [(r.g, r.id, r.title) for r in out] == [("g", "1", "one"), ("g", "2", "two"), ("g", "8", "eight"), ("g", "9", "nine"), ("h", "1", "one"), ("h", "3", "three")]
+
+
+def test_contained_terms_of_one_character(spark):
+    from quillspark.functions.glossary import contained
+
+    terms = spark.createDataFrame([("王",), ("王氏",), ("x",), (None,)], "term string")
+    texts = spark.createDataFrame([("王氏族",), ("王",), ("y",), ("",), (None,)], "text string")
+    got = sorted((r["text"], r["term"]) for r in contained(terms, "term", texts, "text").collect())
+    assert got == [("王", "王"), ("王氏族", "王"), ("王氏族", "王氏")]
