@@ -6,10 +6,12 @@ written to the shared folder, and only one number a round comes to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import drop_path, fresh_path
+from quillspark.llm.common import drop_path, fresh_path, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -59,3 +61,29 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], weight: Callable[[str], Column], enough: int = 1) -> DataFrame:
+    """(u, v) links whose components are those of all pairs that share keys and that verify admits.
+
+    members: k, node, times and columns that fits needs, each (k, node) once. Two nodes with one k count its weight if
+    fits(a, b), with aliases of their rows, doesn't rule the pair out; pairs of a total of `enough` go to verify, which
+    takes and gives (u, v). Each key's nodes first meet its head, the node that occurs most. Then the nodes outside a
+    key's largest component meet those of other components, so n copies of one text give n links and not their square.
+    """
+
+    def pairs(met: DataFrame) -> DataFrame:
+        met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"), weight("a").alias("w"))
+        return met.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= enough).select("u", "v")
+
+    row = F.struct("times", "node", *(c for c in members.columns if c not in ("times", "node")))
+    heads = members.groupBy("k").agg(F.max(row).alias("head")).select("head.*")
+    stars = members.alias("a").join(heads.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.node") != F.col("b.node")) & fits("a", "b"))
+    stars = written(pairs(stars), "stars")
+    found = written(verify(stars), "star-links")
+    named = members.join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = named.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rest = written(named.join(main.select("k", F.col("main.root").alias("main")), "k"), "unlinked")
+    once = (F.col("a.root") == F.col("a.main")) | (F.col("a.node") > F.col("b.node"))
+    met = rest.alias("a").join(rest.where("root <> main").alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root")) & once & fits("a", "b"))
+    return found.union(written(verify(pairs(met).join(stars, ["u", "v"], "left_anti")), "rest-links"))

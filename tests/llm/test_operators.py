@@ -103,7 +103,7 @@ def test_line_dedup_of_lines_with_one_long_word(spark):
 def test_line_dedup_finds_all_pairs_similar_in_words(spark):
     rng = random.Random(5)
     word, lines = lambda: rng.choice(["the", "of", "and"] + [f"w{i}" for i in range(300)]), []
-    for n in [*range(5, 26), 30, 41, 60] * 3:
+    for n in [*range(2, 26), 30, 41, 60] * 3:
         base = [word() for _ in range(n)]
         lines.append(" ".join(base))
         for most in (n // 5, max(1, n // 10)):
@@ -116,8 +116,9 @@ def test_line_dedup_finds_all_pairs_similar_in_words(spark):
     for j in range(len(lines)):
         for i in range(j):
             n = max(len(cut[i]), len(cut[j]))
-            short = max(len(lines[i]), len(lines[j])) <= line_dedup.SHORT
-            if abs(len(cut[i]) - len(cut[j])) * 5 <= n and edits(cut[i], cut[j]) * 5 <= n or short and edits(lines[i], lines[j]) * 5 <= max(len(lines[i]), len(lines[j])):
+            most = max(len(lines[i]), len(lines[j]))
+            share = 5 if n < line_dedup.FEW else 10  # of lines of five words or more, characters may differ in half as many
+            if abs(len(cut[i]) - len(cut[j])) * 5 <= n and edits(cut[i], cut[j]) * 5 <= n or most <= line_dedup.SHORT and edits(lines[i], lines[j]) * share <= most:
                 a, b = find(parent, i), find(parent, j)
                 parent[max(a, b)] = min(a, b)
     first = {find(parent, i) for i in range(len(lines))}
