@@ -31,9 +31,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder as Parquet and read it back."""
+    """Cut lineage: write df to the shared folder as Parquet and read it back.
+
+    Executors delete the shuffle files of steps that are over once the driver has collected what stood for them, so it
+    is asked to; a long job would otherwise keep the files of all its steps.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

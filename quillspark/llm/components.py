@@ -76,14 +76,14 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
         met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"), weight("a").alias("w"))
         return met.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= enough).select("u", "v")
 
-    row = F.struct("times", "node", *(c for c in members.columns if c not in ("times", "node")))
-    heads = members.groupBy("k").agg(F.max(row).alias("head")).select("head.*")
+    often = F.shiftleft(F.least("times", F.lit(1 << 18)), 44).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 44) - 1)))
+    heads = members.withColumn("often", often).groupBy("k").agg(*(F.max_by(c, "often").alias(c) for c in members.columns if c != "k"))
     stars = members.alias("a").join(heads.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.node") != F.col("b.node")) & fits("a", "b"))
     stars = written(pairs(stars), "stars")
     found = written(verify(stars), "star-links")
     named = members.join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = named.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rest = written(named.join(main.select("k", F.col("main.root").alias("main")), "k"), "unlinked")
+    main = named.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max_by("root", "m").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rest = written(named.join(main.select("k", "main"), "k"), "unlinked")
     once = (F.col("a.root") == F.col("a.main")) | (F.col("a.node") > F.col("b.node"))
     met = rest.alias("a").join(rest.where("root <> main").alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root")) & once & fits("a", "b"))
     return found.union(written(verify(pairs(met).join(stars, ["u", "v"], "left_anti")), "rest-links"))
