@@ -172,17 +172,17 @@ def places_of(counts: dict[str, int], total: int) -> dict[str, int]:
     return places
 
 
-def training_rows(docs: DataFrame, may_learn: Column, max_docs: int = 1600, max_chars: int = 6000) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, may_learn: Column, max_docs: int = 1600) -> list[tuple[str, str]]:
     """A bounded sample of labelled rows for the fit: max_docs documents over all languages, one of each at least.
 
     As many of each language as there are, up to an equal share, drawn by a hash of text and language so that nothing
-    depends on row order; of each, the first max_chars characters. Prediction has no such bounds.
+    depends on row order; of each, the whole text. Prediction has no such bound.
     """
     known = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    drawn = known.withColumn("draw", F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40))).select("draw", F.substring("text", 1, max_chars).alias("text"), "lang")
+    drawn = known.withColumn("draw", F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 40))).select("draw", "text", "lang")
     places = docs.sparkSession.createDataFrame(list(places_of(counts, max_docs).items()), "lang string, places int")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     most = max(places_of(counts, max_docs).values())
