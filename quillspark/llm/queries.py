@@ -58,14 +58,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages archived in two replicas, audited and read back."""
-    out = warc_audit.audited_archive(table(spark, sf_dir, "pages"))
-    return out.select("page_id", "url", "payload_bytes", "payload_sha256", "intact")
+    """All pages archived in two replicas, every 97th damaged in the second, audited and read back from the sound copy."""
+    out = warc_audit.audited_archive(table(spark, sf_dir, "pages"), spoilt=F.pmod("page_id", F.lit(97)) == 0)
+    return out.select("page_id", "url", "payload_bytes", "payload_sha256", "intact", "replica")
 
 
 OP6_SQL = """
 select page_id, coalesce(url, '') as url, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
-  sha256(coalesce(html, '')) as payload_sha256, true as intact
+  sha256(coalesce(html, '')) as payload_sha256, coalesce(page_id % 97 <> 0, true) as intact, 1::int as replica
 from pages
 """
 

@@ -259,11 +259,31 @@ def test_warc_finds_corruption(spark):
         f.write(bytes(data) + b"more")
     bad = warc_audit.differing(warc_audit.trees(f"{path}/a", index), warc_audit.trees(f"{path}/b", index)).collect()
     assert sorted(r["rec"] for r in bad) == [0, 17, 699, 700]
+    got = warc_audit.audit([f"{path}/b", f"{path}/a"], index).collect()
+    assert {r["rec"] for r in got if not r["intact"]} == {0, 17, 699} == {r["rec"] for r in got if r["replica"] == 2} and all(r["url"] == "u" for r in got)
     os.remove(file)
     lost = warc_audit.differing(warc_audit.trees(f"{path}/a", index), warc_audit.trees(f"{path}/b", index))
     assert lost.count() == 700
 
 
+def test_warc_lost_and_damaged_in_both(spark):
+    path = fresh_path(spark, "warc")
+    df = spark.range(0, 40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page "), "id").alias("html")).repartition(40, "page_id")
+    index = warc_audit.write_archive(df, [f"{path}/a", f"{path}/b"])
+    for side in "ab":
+        warc_audit.spoil(f"{path}/{side}", index.where("page_id = 7"))
+    warc_audit.spoil(f"{path}/b", index.where("page_id in (9, 11)"))
+    gone = {r["page_id"]: r["file"] for r in index.collect()}
+    lost = {p for p, f in gone.items() if f == gone[3]}
+    for side in "ab":
+        os.remove(f"{path[7:]}/{side}/{gone[3]}")
+    got = {r["page_id"]: (r["intact"], r["replica"]) for r in warc_audit.audit([f"{path}/a", f"{path}/b"], index).collect()}
+    assert {p for p, (ok, _) in got.items() if not ok} == lost | {7, 9, 11} and len(got) == 40
+    assert {p for p, (_, n) in got.items() if n == 0} == lost | {7}
+    tree = warc_audit.trees(f"{path}/a", index)
+    assert tree.where(F.col("level") == tree.agg(F.max("level")).first()[0]).count() == 1
+
+
 # 7
 def test_posteriors_equal_one_pass():
     rng, n = np.random.default_rng(0), 4
