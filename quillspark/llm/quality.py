@@ -3,7 +3,9 @@
 Base rules count words, symbols, repeated lines and repeated 3-word windows of every whole text. The method's verdict is
 a log-likelihood ratio: words and word pairs are hashed into BUCKETS buckets; a trusted target and the raw corpus each
 give a multinomial over them (add-one smoothed, counted over all rows); a text's score is the mean over its n-grams of
-log p(target) - log p(raw). A fixed threshold decides, so a row's verdict never depends on draws or on row order.
+log p(target) - log p(raw). A trusted row is scored without the counts of its own fold of the trusted rows, so a
+verdict doesn't tell who was in the fit. The threshold is a quantile of those held-out scores and the same for every
+row; a verdict never depends on draws or on row order.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 14
-THRESHOLD = -0.04
+BUCKETS, FOLDS = 1 << 14, 5
+#: Share of the trusted rows past the base rules that may fall below the threshold.
+QUANTILE = 0.01
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -105,59 +108,89 @@ def buckets(words: Column, n_buckets: int = BUCKETS) -> Column:
 
 
 def trusted_ids(labels: DataFrame, max_trusted: int = 20_000) -> DataFrame:
-    """At most max_trusted ids with quality 1 and toxic 0, the first by hash: the bounded sample the target is fitted on."""
+    """(id, fold): at most max_trusted ids with quality 1 and toxic 0, the first by hash: the bounded sample the target is fitted on."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
+    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, max_trusted: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """log p(target) - log p(raw) of each bucket; raw counts cover every row of docs, add-one smoothing covers the rest.
+def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, max_trusted: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> list[list[float]]:
+    """log p(target) - log p(raw) of each bucket: from all trusted rows, then FOLDS tables that each leave one fold of them out.
 
-    Without a trusted row both multinomials are flat against each other and every ratio is 0.
+    Raw counts cover every row of docs, add-one smoothing covers the rest. Without a trusted row every ratio is 0.
     """
-    trusted = trusted_ids(labels, max_trusted).select(F.col("doc_id").alias("id"), F.lit(1).alias("t"))
-    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col).cast("string")).alias("w")).join(F.broadcast(trusted), "id", "left")
-    grams = rows.select("t", F.explode(buckets(F.col("w"), n_buckets)).alias("b"))
-    counted = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("t").alias("target")).collect()  # n_buckets rows at most
-    raw, target = [1] * n_buckets, [1] * n_buckets
+    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col).cast("string")).alias("w")).join(F.broadcast(trusted_ids(labels, max_trusted)), "id", "left")
+    grams = rows.select("fold", F.explode(buckets(F.col("w"), n_buckets)).alias("b"))
+    in_fold = [F.count(F.when(F.col("fold") == k, 1)).alias(f"f{k}") for k in range(FOLDS)]
+    counted = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), *in_fold).collect()  # n_buckets rows at most
+    raw, folds = [1] * n_buckets, [[0] * n_buckets for _ in range(FOLDS)]
     for r in counted:
         raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
+        for k in range(FOLDS):
+            folds[k][r["b"]] = r[f"f{k}"]
+    target = [1 + sum(x) for x in zip(*folds, strict=True)]
     if sum(target) == n_buckets:
-        return [0.0] * n_buckets
-    shift = math.log(sum(target)) - math.log(sum(raw))
-    return [math.log(t) - math.log(r) - shift for t, r in zip(target, raw, strict=True)]
+        return [[0.0] * n_buckets] * (FOLDS + 1)
 
+    def table(t: list[int]) -> list[float]:
+        shift = math.log(sum(t)) - math.log(sum(raw))
+        return [math.log(x) - math.log(r) - shift for x, r in zip(t, raw, strict=True)]
 
-def score(words: Column, ratios: list[float]) -> Column:
-    """Mean log ratio of a text's n-grams; null for a text without words."""
-    table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
-    grams = buckets(words, len(ratios))
+    return [table(target), *(table([x - y for x, y in zip(target, f, strict=True)]) for f in folds)]
+
+
+def score(words: Column, ratios: list[list[float]], fold: Column) -> Column:
+    """Mean log ratio of a text's n-grams under its fold's table, that of all where fold is null; null for a text without words."""
+    tables = [F.split(F.lit(",".join(map(repr, t))), ",").cast("array<double>") for t in ratios]  # each folded to one literal
+    chosen = tables[0]
+    for k, t in enumerate(tables[1:]):
+        chosen = F.when(fold == k, t).otherwise(chosen)
+    grams = buckets(words, len(ratios[0]))
 
     def mean(x: Column) -> Column:
         pair = lambda g, m: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(m, b)) / F.size(g)
-        return F.when(F.size(x) > 0, let(table, lambda m: pair(x, m)))
+        return F.when(F.size(x) > 0, let(chosen, lambda m: pair(x, m)))
 
     return let(grams, mean)
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = BUCKETS, max_trusted: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the base counts, base_failed, llr and kept.
+def _sound(w: Column) -> Column:
+    return (F.size(w) >= 50) & (100 * n_repeat_words(w) <= 50 * F.size(w))
 
-    kept is false where a base rule fails, else llr >= threshold. Null and blank texts have no words, so they fail;
-    repeated rows get the same verdict; an empty table gives no rows. Other columns are ignored, whatever their names.
+
+def fit(docs: DataFrame, labels: DataFrame, quantile: float, n_buckets: int, max_trusted: int, id_col: str, text_col: str) -> tuple[list[list[float]], float]:
+    """(ratios, threshold): the quantile of the trusted rows' held-out scores, past the base rules; -infinity without such rows.
+
+    Nearest rank, over at most max_trusted documents.
     """
     ratios = log_ratios(docs, labels, n_buckets, max_trusted, id_col, text_col)
-    out = base_rules(docs, id_col, text_col).withColumn("llr", score(F.col("words"), ratios)).drop("words")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(trusted_ids(labels, max_trusted)), "id")
+    held = rows.select(let(words_of(F.col("text")), lambda w: F.when(_sound(w), score(w, ratios, F.col("fold")))).alias("s")).where("s is not null")
+    found = held.agg(F.percentile("s", quantile).alias("t")).first()["t"]
+    return ratios, -math.inf if found is None else found
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = BUCKETS, max_trusted: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose verdict is kept; one filter, so no column name can clash."""
-    ratios = log_ratios(docs, labels, n_buckets, max_trusted, id_col, text_col)
+def _folded(docs: DataFrame, labels: DataFrame, max_trusted: int, id_col: str) -> DataFrame:
+    """(row, fold): docs' rows as structs, so that no column name can clash; fold of trusted rows."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    return rows.join(F.broadcast(trusted_ids(labels, max_trusted)), "id", "left").select("row", "fold")
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, n_buckets: int = BUCKETS, max_trusted: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: the base counts, base_failed, llr and kept.
+
+    kept is false where a base rule fails, else llr >= threshold (see fit). Null and blank texts have no words, so they fail;
+    repeated rows get the same verdict; an empty table gives no rows. Other columns are ignored, whatever their names.
+    Texts of any length are counted whole. Rows with a null id are in no fold.
+    """
+    ratios, threshold = fit(docs, labels, quantile, n_buckets, max_trusted, id_col, text_col)
+    rows = _folded(docs.select(id_col, text_col), labels, max_trusted, id_col).select(F.struct(F.col(f"row.`{id_col}`").alias("id"), "fold").alias("key"), F.col(f"row.`{text_col}`").alias("text"))
+    out = base_rules(rows, "key", "text").withColumn("llr", score(F.col("words"), ratios, F.col("doc_id.fold"))).drop("words")
+    out = out.withColumn("doc_id", F.col("doc_id.id"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
 
-    def verdict(w: Column) -> Column:
-        sound = (F.size(w) >= 50) & (100 * n_repeat_words(w) <= 50 * F.size(w))
-        return sound & F.coalesce(score(w, ratios) >= threshold, F.lit(False))
 
-    return docs.where(let(words_of(F.col(text_col).cast("string")), verdict))
+def keep_documents(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, n_buckets: int = BUCKETS, max_trusted: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose verdict is kept. Cases as for quality_verdicts()."""
+    ratios, threshold = fit(docs, labels, quantile, n_buckets, max_trusted, id_col, text_col)
+    verdict = lambda w: _sound(w) & F.coalesce(score(w, ratios, F.col("fold")) >= threshold, F.lit(False))
+    return _folded(docs, labels, max_trusted, id_col).where(let(words_of(F.col(f"row.`{text_col}`").cast("string")), verdict)).select("row.*")
