@@ -6,13 +6,15 @@ rate, how often it is used, solves the least squares problem that the rates' exp
 rates being 0 or more, by projected gradient steps from rate 1. A step needs only the domains' totals under the present
 rates: one aggregate over a narrow table, with one row of sums to the driver. A rate is a function of the document's
 tokens and posteriors and of the steps so far, so no rate is stored or joined. Steps are scaled by the inverse of the
-domains' second moments over the rows whose rate isn't 0, so that a few suffice; a step that widens the gap is taken back
-and made with the moments of all rows, for which step 1 descends.
+domains' second moments over the rows whose rate can change, so that a few suffice; the same aggregate tries it along with
+plain gradient steps of several lengths, and the one that leaves the least squared gap is taken. The steps end at the
+targets, or where none lessens the gap: no rates of 0 or more come nearer then, and a warning says how far off they stay.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -83,7 +85,7 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, max_labelled: int = 20_0
     counts = words.groupBy("domain", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     folded = counts.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sum("n").alias("n"))
     found = {r["domain"]: r for r in folded.collect()}  # a row a domain, BUCKETS entries at most
-    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # labels whose document is there
     names = sorted(found)
     all_docs = sum(sizes[d] for d in names) or 1
     table = [[math.log((found[d]["m"].get(b, 0) + 0.1) / (found[d]["n"] + 0.1 * BUCKETS)) for b in range(BUCKETS)] for d in names]
@@ -118,24 +120,39 @@ def fit_rates(narrow: DataFrame, mixer: Mixer, weights: dict[str, float], budget
         ridge = 1e-9 * max(out[i][i] for i in range(d)) + 1e-300
         return [[x + ridge * (i == j) for j, x in enumerate(r)] for i, r in enumerate(out)]
 
-    def measured() -> tuple[list[float], list[list[float]]]:
+    def measured(steps: list[list[float]]) -> list[tuple[list[float], list[list[float]]]]:
+        """Domain totals, and moments of the rows that a further gradient step can change, after each of the steps."""
         rated = narrow.select("n_tokens", "p", mixer.rate(F.col("n_tokens"), F.col("p")).alias("r"))
-        row = rated.agg(*(F.sum(F.col("r") * s).alias(f"s{i}") for i, s in enumerate(share)), *(F.sum(F.when(F.col("r") > 0, share[i] * share[j])).alias(f"g{i}_{j}") for i, j in pairs)).first()
-        return [row[f"s{i}"] / mixer.total for i in range(d)], moments(row)
-
-    gap = lambda: [a - b for a, b in zip(mixer.reached, mixer.wanted, strict=True)]
+        sums = []
+        for k, step in enumerate(steps):
+            after = F.greatest(F.lit(0.0), F.col("r") - sum((F.lit(g / mixer.total) * x for g, x in zip(step, share, strict=True)), F.lit(0.0)))
+            sums += [F.sum(after * s).alias(f"{k}s{i}") for i, s in enumerate(share)]
+            sums += [F.sum(F.when(after > 0, share[i] * share[j])).alias(f"{k}g{i}_{j}") for i, j in pairs]
+        row = rated.agg(*sums).first().asDict()
+        parts = [{name.removeprefix(str(k)): x for name, x in row.items() if name.startswith((f"{k}s", f"{k}g"))} for k in range(len(steps))]
+        return [([x[f"s{i}"] / mixer.total for i in range(d)], moments(x)) for x in parts]
+
+    gap = lambda reached: [a - b for a, b in zip(reached, mixer.wanted, strict=True)]
+    loss = lambda reached: sum(x * x for x in gap(reached))
     all_rows = free = moments(sums)
     mixer.steps, mixer.reached = [], [sums[f"s{i}"] / mixer.total for i in range(d)]
     for _ in range(max_steps):
-        before = gap()
+        before = gap(mixer.reached)
         if max(map(abs, before)) <= tolerance:
+            return mixer
+        ahead = [sum(x * y for x, y in zip(row, before, strict=True)) for row in free]
+        length = sum(x * y for x, y in zip(before, ahead, strict=True)) / (sum(x * x for x in ahead) or 1.0)
+        lengths = [length * 4**k for k in range(-1, 4)] + [1 / (sum(all_rows[i][i] for i in range(d)) or 1.0)]
+        steps = [_solve(free, before), *([x * g for g in before] for x in lengths)]
+        found = measured(steps)
+        best = min(range(len(steps)), key=lambda k: loss(found[k][0]))
+        if loss(found[best][0]) >= loss(mixer.reached) * (1 - 1e-5):
             break
-        mixer.steps.append(_solve(free, before))
-        reached, found = measured()
-        if max(abs(a - b) for a, b in zip(reached, mixer.wanted, strict=True)) > max(map(abs, before)):
-            mixer.steps[-1] = _solve(all_rows, before)
-            reached, found = measured()
-        mixer.reached, free = reached, found
+        mixer.steps.append(steps[best])
+        mixer.reached, free = found[best]
+    if max(map(abs, gap(mixer.reached))) > tolerance:
+        off = ", ".join(f"{x}: {a:.4f} for {b:.4f}" for x, a, b in zip(mixer.domains, mixer.reached, mixer.wanted, strict=True))
+        warnings.warn(f"rates don't meet the targets after {len(mixer.steps)} steps, shares of all tokens are {off}", stacklevel=2)
     return mixer
 
 
@@ -155,7 +172,9 @@ def mix(docs: DataFrame, domains: DataFrame, weights: dict[str, float], budget:
     """(doc_id, n_tokens, p_<domain>..., rate, copies) of every row, and the fitted mixer.
 
     Without a labelled document there are no domains and every rate is 1. Texts without words have the rate 1, as nothing
-    can be gained from them. Repeated rows have one rate; an empty table gives no rows; other columns are ignored.
+    can be gained from them; texts of any length count whole. Repeated rows have one rate; a null id is an id like any
+    other; an empty table gives no rows; other columns are ignored. Warns if the rates don't
+    meet the targets; the mixer has what they reach.
     """
     mixer = fit_classifier(docs, domains, max_labelled, id_col, text_col)
     if not mixer.domains:

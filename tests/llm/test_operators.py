@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+import warnings
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -348,22 +349,35 @@ def test_quality(spark):
     assert quality.quality_verdicts(docs_of(spark, []), labels.limit(0)).count() == 0
 
 
-def test_quality_score_is_the_ratio(spark):
+def test_quality_score_is_the_ratio_without_the_own_fold(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    ratios = quality.log_ratios(docs, labels, 256)
+    tables = quality.log_ratios(docs, labels, 256)
     grams = docs.select("doc_id", quality.buckets(quality.words_of(F.col("text")), 256).alias("g"))
-    good = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()}
-    raw, target, held = Counter(), Counter(), {}
-    for r in grams.collect():
-        held[r["doc_id"]] = r["g"]
-        raw.update(r["g"])
-        if r["doc_id"] in good:
-            target.update(r["g"])
-    want = [np.log((target[b] + 1) / (target.total() + 256)) - np.log((raw[b] + 1) / (raw.total() + 256)) for b in range(256)]
-    assert np.allclose(ratios, want)
-    for r in docs.select("doc_id", quality.score(quality.words_of(F.col("text")), ratios).alias("s")).collect():
-        assert (r["s"] is None and not held[r["doc_id"]]) or np.isclose(r["s"], np.mean([want[b] for b in held[r["doc_id"]]]))
+    fold = {r["id"]: r["fold"] for r in quality.trusted_ids(labels).collect()}
+    assert set(fold) == {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()} and set(fold.values()) == set(range(quality.FOLDS))
+    raw, held = Counter(), {r["doc_id"]: r["g"] for r in grams.collect()}
+    for g in held.values():
+        raw.update(g)
+    want = []
+    for k in (None, *range(quality.FOLDS)):
+        target = Counter(b for i, g in held.items() if i in fold and fold[i] != k for b in g)
+        want.append([np.log((target[b] + 1) / (target.total() + 256)) - np.log((raw[b] + 1) / (raw.total() + 256)) for b in range(256)])
+    assert np.allclose(tables, want)
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(docs, labels, n_buckets=256, quantile=0.2).collect()}
+    scores = {i: np.mean([want[1 + fold[i] if i in fold else 0][b] for b in g]) for i, g in held.items() if g}
+    assert all((r["llr"] is None and i not in scores) or np.isclose(r["llr"], scores[i]) for i, r in got.items())
+    least = np.percentile([scores[i] for i, r in got.items() if i in fold and not r["base_failed"]], 20)
+    assert all(r["kept"] == (not r["base_failed"] and scores[i] >= least - 1e-12) for i, r in got.items())
+
+
+def test_quality_keeps_rows_of_the_fit_and_others_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    clean, half = labels.where("quality = 1 and toxic = 0"), F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    rows = quality.quality_verdicts(docs, labels.where(half)).join(clean.withColumn("fitted", half), "doc_id").where("not base_failed")
+    kept = {r["fitted"]: r["k"] for r in rows.groupBy("fitted").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert kept[True] >= 0.95 and kept[False] >= 0.95
 
 
 # 9
@@ -382,6 +396,23 @@ def test_mixing(spark):
     assert Counter(r["doc_id"] for r in copied.collect()) == Counter({r["doc_id"]: r["copies"] for r in rows if r["copies"]}) and copied.columns == docs.columns
 
 
+def test_mixing_reaches_the_least_squares_optimum(spark):
+    rng = np.random.default_rng(6)
+    tokens, p = rng.integers(1, 400, 30), rng.dirichlet([0.6, 0.3, 0.2], 30)
+    narrow = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, p, strict=True)], "n_tokens long, p array<double>").coalesce(1)
+    share = tokens[:, None] * p / tokens.sum()
+    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 0.0, "b": 0.05, "c": 0.95}):
+        mixer = mixing.Mixer(["a", "b", "c"], [0.0] * 3, [])
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            mixing.fit_rates(narrow, mixer, weights, budget=float(tokens.sum()))
+        want, rates = np.array([weights[x] for x in "abc"]), np.ones(30)
+        for _ in range(200_000):
+            rates = np.maximum(0, rates - 4 * share @ (rates @ share - want))
+        best = ((rates @ share - want) ** 2).sum()
+        assert ((np.array(mixer.reached) - want) ** 2).sum() <= 1.1 * best + 1e-7, weights
+
+
 def test_mixing_edges(spark):
     none = spark.createDataFrame([], "doc_id long, domain string")
     out, _ = mixing.mix(docs_of(spark, TEXTS), none, {"a": 1.0})
