@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, FOLDS = 1 << 14, 5
+BUCKETS, FOLDS = 1 << 14, 3
 #: Share of the trusted rows past the base rules that may fall below the threshold.
 QUANTILE = 0.01
 SPACE = r"[\x20\x09-\x0D]+"
@@ -140,7 +140,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, max
 
 def score(words: Column, ratios: list[list[float]], fold: Column) -> Column:
     """Mean log ratio of a text's n-grams under its fold's table, that of all where fold is null; null for a text without words."""
-    tables = [F.split(F.lit(",".join(map(repr, t))), ",").cast("array<double>") for t in ratios]  # each folded to one literal
+    tables = [F.split(F.lit(",".join(f"{x:.7g}" for x in t)), ",").cast("array<double>") for t in ratios]  # each folded to one literal
     chosen = tables[0]
     for k, t in enumerate(tables[1:]):
         chosen = F.when(fold == k, t).otherwise(chosen)
