@@ -63,13 +63,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], weight: Callable[[str], Column], enough: int = 1) -> DataFrame:
-    """(u, v) links whose components are those of all pairs that share keys and that verify admits.
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], weight: Callable[[str], Column], enough: int = 1, many: int = 64) -> DataFrame:
+    """(u, v) links whose components are those of the pairs that share keys and that verify admits.
 
     members: k, node, times and columns that fits needs, each (k, node) once. Two nodes with one k count its weight if
     fits(a, b), with aliases of their rows, doesn't rule the pair out; pairs of a total of `enough` go to verify, which
     takes and gives (u, v). Each key's nodes first meet its head, the node that occurs most. Then the nodes outside a
     key's largest component meet those of other components, so n copies of one text give n links and not their square.
+    A key of more than `many` nodes would give the square of them where they share a passage and nothing else; its
+    nodes outside the largest component meet one more head, the one of them that occurs most, and each other only by
+    keys that fewer nodes share.
     """
 
     def pairs(met: DataFrame) -> DataFrame:
@@ -82,8 +85,12 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
     stars = written(pairs(stars), "stars")
     found = written(verify(stars), "star-links")
     named = members.join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = named.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max_by("root", "m").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    rest = written(named.join(main.select("k", "main"), "k"), "unlinked")
-    once = (F.col("a.root") == F.col("a.main")) | (F.col("a.node") > F.col("b.node"))
-    met = rest.alias("a").join(rest.where("root <> main").alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root")) & once & fits("a", "b"))
+    main = named.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max_by("root", "m").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("nodes")).where("roots > 1")
+    rest = written(named.join(main.select("k", "main", "nodes"), "k"), "unlinked")
+    out = rest.where("root <> main")
+    second = out.where(F.col("nodes") > many).groupBy("k").agg(F.max_by("node", often).alias("second")).withColumnRenamed("k", "sk")
+    few = out.where(F.col("nodes") <= many).union(out.join(second, (F.col("k") == F.col("sk")) & (F.col("node") == F.col("second"))).select(*out.columns))
+    once = (F.col("a.root") == F.col("a.main")) | (F.col("a.node") > F.col("b.node")) | (F.col("a.nodes") > many)
+    outer = (F.col("a.nodes") <= many) | (F.col("a.root") != F.col("a.main"))
+    met = rest.alias("a").join(few.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root")) & once & outer & fits("a", "b"))
     return found.union(written(verify(pairs(met).join(stars, ["u", "v"], "left_anti")), "rest-links"))
