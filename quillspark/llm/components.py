@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import drop_path, fresh_path, written
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _write(edges: DataFrame, path: str) -> tuple:
+    """Write edges, each there once, and give their number and a digest of them, from the same job."""
+    seen = Observation()
+    edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 20))).alias("s")).write.parquet(path)
+    return tuple(seen.get[k] or 0 for k in "nxs")
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -38,10 +41,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     spark = edges.sparkSession
     edges = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     path = fresh_path(spark, "components")
-    edges.write.parquet(path)
-    schema = edges.schema
+    schema, before = edges.schema, _write(edges, path)
     edges = spark.read.schema(schema).parquet(path)
-    before = _digest(edges)
     for _ in range(max_rounds if before[0] else 0):
         # large star: neighbours above a node point to the least around it; so u > v in every edge
         arcs = _star(_both(edges), F.col("v") > F.col("u")).distinct()
@@ -49,10 +50,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         least = arcs.groupBy("u").agg(F.min("v").alias("m"))
         small = arcs.join(least, "u").select(F.explode(F.array("u", "v")).alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
         step = fresh_path(spark, "components")
-        small.write.parquet(step)
+        after = _write(small, step)
         old, path, edges = path, step, spark.read.schema(schema).parquet(step)
         drop_path(spark, old)
-        after = _digest(edges)
         if after == before:
             break
         before = after
@@ -63,8 +63,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], weight: Callable[[str], Column], enough: int = 1, many: int = 64) -> DataFrame:
-    """(u, v) links whose components are those of the pairs that share keys and that verify admits.
+def bucket_roots(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], weight: Callable[[str], Column], enough: int = 1, many: int = 64) -> DataFrame:
+    """(node, root), as of connected_components, of the pairs that share keys and that verify admits.
 
     members: k, node, times and columns that fits needs, each (k, node) once. Two nodes with one k count its weight if
     fits(a, b), with aliases of their rows, doesn't rule the pair out; pairs of a total of `enough` go to verify, which
@@ -84,7 +84,8 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
     stars = members.alias("a").join(heads.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.node") != F.col("b.node")) & fits("a", "b"))
     stars = written(pairs(stars), "stars")
     found = written(verify(stars), "star-links")
-    named = members.join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = written(connected_components(found), "star-roots")
+    named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = named.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max_by("root", "m").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("nodes")).where("roots > 1")
     rest = written(named.join(main.select("k", "main", "nodes"), "k"), "unlinked")
     out = rest.where("root <> main")
@@ -93,4 +94,10 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
     once = (F.col("a.root") == F.col("a.main")) | (F.col("a.node") > F.col("b.node")) | (F.col("a.nodes") > many)
     outer = (F.col("a.nodes") <= many) | (F.col("a.root") != F.col("a.main"))
     met = rest.alias("a").join(few.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root")) & once & outer & fits("a", "b"))
-    return found.union(written(verify(pairs(met).join(stars, ["u", "v"], "left_anti")), "rest-links"))
+    links = written(verify(pairs(met).join(stars, ["u", "v"], "left_anti")), "rest-links")
+    for end in ("u", "v"):  # links of nodes become links of the components found so far
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    joined = written(connected_components(links), "joined-roots")
+    alone = joined.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti")
+    above = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return roots.union(alone).join(above, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
