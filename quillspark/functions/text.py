@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters and classes that cleaning has to know.
-INVISIBLE = "​‌‍⁠﻿­‎‏᠎"
+INVISIBLE = "​‌‍﻿­‎‏‪‬"
 HAN = "一-鿿"
+WRAPS, RARE_WRAPS = ("『〖【〔〈⦅‹«", "』〗】〕〉⦆›»"), ("⦅‹«", "⦆›»")
+SENTENCE_ENDS, EMPTY_PAIR = "。！？!?", ("（(", "）)")
 QUOTE_PAIRS = (("“", "”"), ("「", "」"), ("『", "』"))
 MOJIBAKE = r"(?:�|Ã|Â(?=\s|[\"'.,;:!?])|â(?:€|™|œ|ž)|Ä(?:‘|’))"
 
@@ -76,9 +78,9 @@ def remove_invisible(c: Column) -> Column:
 
 
 def collapse_repeats(c: Column, rounds: int = 6) -> Column:
-    """Stuttered phrases of two words or more, once; each round halves a run, so six settle 64 repeats."""
+    """Stuttered phrases of two words or more, once, however often they repeat; rounds are for phrases inside phrases."""
     for _ in range(rounds):
-        c = F.regexp_replace(c, r"(?iU)\b(\w+(?:\s+\w+)+)\s+\1\b", "$1")
+        c = F.regexp_replace(c, r"(?iU)\b(\w+(?:\s+\w+)+?)(?:\s+\1\b)+", "$1")
     return c
 
 
@@ -145,14 +147,18 @@ def balance_quotes_text(text: str) -> str:
     return "\n".join(out)
 
 
-_WRAP_ONE = re.compile(rf"(?<=[{HAN}])[『「【〔\[（(]([{HAN}])[』」】〕\]）)]|[『「【〔\[（(]([{HAN}])[』」】〕\]）)](?=[{HAN}])")
+_OPEN, _CLOSE = (f"[{x}]" for x in WRAPS)
+#: In order: slashes behind a sentence end, empty pairs on a line, stars inside names, runs of sentence ends, angle labels, rare wraps.
 _STEPS = (
-    (re.compile(r"(?<=[。！？!?])/+(?=\s*$)", re.M), ""),
-    (re.compile(r"^[ \t]*[【\[（(「『][ \t]*[】\]）)」』][ \t]*$\n?", re.M), ""),
+    (re.compile(rf"(?<=[{SENTENCE_ENDS}])/[ \t]*(?=\r?$)", re.M), ""),
+    (re.compile(rf"^[ \t]*[{EMPTY_PAIR[0]}][ \t]*[{EMPTY_PAIR[1]}][ \t]*(?:\r?\n|\Z)", re.M), ""),
     (re.compile(rf"(?<=[{HAN}])\*(?=[{HAN}])"), ""),
-    (re.compile(r"([。！？!?])[。！？!?]+"), r"\1"),
+    (re.compile(rf"([{SENTENCE_ENDS}])[{SENTENCE_ENDS}]+"), r"\1"),
     (re.compile(r"〈([^〈〉\n]*)〉"), r"【\1】"),
+    (re.compile(rf"[{RARE_WRAPS[0]}]([{HAN}])[{RARE_WRAPS[1]}]"), r"\1"),
 )
+#: One Han character in brackets beside another one; the second group is empty where the first has it.
+_WRAPPED = re.compile(rf"(?<=[{HAN}]){_OPEN}([{HAN}]){_CLOSE}|{_OPEN}([{HAN}]){_CLOSE}(?=[{HAN}])")
 
 
 def clean_source_text(text: str) -> str:
@@ -160,9 +166,9 @@ def clean_source_text(text: str) -> str:
     text = balance_quotes_text(text.translate(dict.fromkeys(map(ord, INVISIBLE))))
     for pattern, new in _STEPS:
         text = pattern.sub(new, text)
-    before = None
-    while before != text:
-        before, text = text, _WRAP_ONE.sub(lambda m: m[1] or m[2], text)
+    changes = 1
+    while changes:
+        text, changes = _WRAPPED.subn(lambda m: m[1] or m[2], text)
     return text.strip()
 
 

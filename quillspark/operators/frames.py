@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,10 +53,26 @@ def dup_counts(df: DataFrame, keys: Keys) -> DataFrame:
     return per.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), F.sum(F.col("n") - 1).alias("n_extra"))
 
 
-def index_percentile(values: Column, p: float) -> Column:
-    """The element at min(n - 1, int(p * n)) of the sorted values: no interpolation. values: an array aggregate."""
-    ordered = F.sort_array(values)
-    return F.get(ordered, F.least(F.size(ordered) - 1, F.floor(F.lit(p) * F.size(ordered)).cast("int")))
+def index_percentiles(df: DataFrame, keys: Keys, value: str, places: Mapping[str, float]) -> DataFrame:
+    """Keys, and for each name of places the element at min(n - 1, int(p * n)) of the group's sorted values: no interpolation.
+
+    Values are counted before they are sorted, so a group costs what its distinct values cost. Nulls take no part.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = counted.withColumn("_upto", F.sum("_n").over(group.orderBy(value))).withColumn("_all", F.sum("_n").over(group))
+    at = lambda p: F.least(F.col("_all") - 1, F.floor(F.lit(p) * F.col("_all")))
+    return upto.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") > at(p), F.col(value))).alias(name) for name, p in places.items()))
+
+
+def numbered_by_parts(df: DataFrame, key: str, part: Column, order: Sequence[str], name: str = "rn") -> DataFrame:
+    """Numbers from 1 in each key's order, a key's rows split over tasks by part, which must not fall in that order (a day of a
+    time, say): rows are numbered in their part, and the parts' sizes give what comes before."""
+    parts = df.withColumn("_part", part)
+    upto = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n")).select(key, "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    local = parts.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
+    return local.join(before, [key, "_part"]).withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_rn", "_before")
 
 
 def context_before(df: DataFrame, keys: Keys, order: str, text: str, k: int, sep: str = "\n") -> DataFrame:

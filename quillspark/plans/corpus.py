@@ -13,14 +13,14 @@ from quillspark.plans.registry import Tables, query
 
 LINES = "lines as (select doc_id, source, lang, u.pos - 1 as pos, u.line as line from (select doc_id, source, lang, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'pos': i, 'line': x})) as u from documents))"
 INTRINSIC = "case when regexp_matches(line, '[#$%&|]') then 'junk' when length(line) < 20 then 'too_short' when length(line) >= 40 and not (length(line) * 1.0 / (1 + length(line) - length(replace(line, ' ', ''))) between 3.0 and 9.0) then 'length_ratio' end"
-GATED = f"""with {LINES}, g as (select *, doc_id * 100000 + pos as ord, trim(line) = '' as missing, {INTRINSIC} as intrinsic from lines),
+GATED = f"""with {LINES}, g as (select *, doc_id::hugeint * 10000000000 + pos as ord, trim(line) = '' as missing, {INTRINSIC} as intrinsic from lines),
 f as (select line as k, min(ord) as first_ok from g where intrinsic is null and not missing group by 1),
 r as (select g.*, case when missing then 'missing' when first_ok < ord then 'duplicate' else intrinsic end as reason from g left join f on line = k)"""
 
 
 def gated(t: Tables) -> DataFrame:
     """Lines with their first reason; a line is a duplicate once it was accepted."""
-    rows = C.line_table(t.documents, "doc_id", "text", "source", "lang").withColumn("ord", F.col("doc_id") * 100000 + F.col("pos"))
+    rows = C.line_table(t.documents, "doc_id", "text", "source", "lang").withColumn("ord", F.col("doc_id").cast("decimal(20,0)") * F.lit(10_000_000_000).cast("decimal(12,0)") + F.col("pos"))
     line = F.col("line")
     words = 1 + F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     rules = [("junk", line.rlike("[#$%&|]")), ("too_short", F.length(line) < 20), ("length_ratio", (F.length(line) >= 40) & ~(F.length(line) * 1.0 / words).between(3.0, 9.0))]
@@ -75,8 +75,7 @@ def batch_gate_shares(t: Tables) -> DataFrame:
 @query("with s as (select lang, list_sort(list(n_chars)) as v, count(*) as n from documents group by 1) select lang, v[least(n - 1, floor(0.01 * n)::bigint) + 1] as p01, v[least(n - 1, floor(0.5 * n)::bigint) + 1] as p50, v[least(n - 1, floor(0.99 * n)::bigint) + 1] as p99 from s")
 def percentile_idx(t: Tables) -> DataFrame:
     """Percentiles by index."""
-    s = t.documents.groupBy("lang").agg(F.collect_list("n_chars").alias("v"))
-    return s.select("lang", *(R.index_percentile(F.col("v"), p).alias(n) for p, n in ((0.01, "p01"), (0.5, "p50"), (0.99, "p99"))))
+    return R.index_percentiles(t.documents, ["lang"], "n_chars", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
 
 
 @query("""select a.vec_id as a, b.vec_id as b, round(list_inner_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_inner_product(a.embedding::double[], a.embedding::double[]) * list_inner_product(b.embedding::double[], b.embedding::double[])), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
@@ -156,17 +155,17 @@ def dedup_keep_last(t: Tables) -> DataFrame:
     return R.numbered(m, ["doc_id"], [F.col("last_pos")], "nth").select("doc_id", "last_pos", "nth", F.length("line").alias("n"))
 
 
-@query("with k as (select substr(text, 1, 20) as k, * from documents), s as (select k from k group by 1 having count(distinct lang || source) = 1) select doc_id from k where k in (select k from s)")
+@query("with k as (select text as k, * from documents), s as (select k from k group by 1 having count(distinct lang || source) = 1) select doc_id from k where k in (select k from s)")
 def conflict_drop(t: Tables) -> DataFrame:
     """Rows whose key has one value only."""
-    d = t.documents.select("doc_id", F.substring("text", 1, 20).alias("k"), F.concat("lang", "source").alias("v"))
+    d = t.documents.select("doc_id", F.col("text").alias("k"), F.concat("lang", "source").alias("v"))
     return R.drop_conflicts(d, "k", "v").select("doc_id")
 
 
-@query("select substr(text, 1, 20) as k, count(distinct lang || source) as n_values from documents group by 1 having count(distinct lang || source) > 1")
+@query("select text as k, count(distinct lang || source) as n_values from documents group by 1 having count(distinct lang || source) > 1")
 def agg_conflicts(t: Tables) -> DataFrame:
     """Keys with several values."""
-    return R.conflicts(t.documents.select(F.substring("text", 1, 20).alias("k"), F.concat("lang", "source").alias("v")), "k", "v")
+    return R.conflicts(t.documents.select(F.col("text").alias("k"), F.concat("lang", "source").alias("v")), "k", "v")
 
 
 @query(f"with {LINES}, c as (select line, count(*) as n from lines group by 1) select sum(n)::bigint as n_rows, count(*) as n_unique, sum(n - 1)::bigint as n_extra from c")

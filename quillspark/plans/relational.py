@@ -229,9 +229,10 @@ s as (select event_type, win, count(*) as n, list_sort(list(value)) as v, max(va
 select event_type, win, n, v[least(n - 1, floor(0.5 * n)::bigint) + 1] as p50, v[least(n - 1, floor(0.95 * n)::bigint) + 1] as p95, worst, n_slow from s""")
 def latency_windows(t: Tables) -> DataFrame:
     """Latency by key and window of 200 calls; percentiles are elements, not interpolated."""
-    win = F.floor((F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1) / 200).cast("long")
-    s = t.events.withColumn("win", win).groupBy("event_type", "win").agg(F.count(F.lit(1)).alias("n"), F.collect_list("value").alias("v"), F.max("value").alias("worst"), F.count_if(F.col("value") > 90).alias("n_slow"))
-    return s.select("event_type", "win", "n", R.index_percentile(F.col("v"), 0.5).alias("p50"), R.index_percentile(F.col("v"), 0.95).alias("p95"), "worst", "n_slow")
+    calls = R.numbered_by_parts(t.events.select("event_type", "ts", "event_id", "value"), "event_type", F.date_trunc("hour", "ts"), ["ts", "event_id"])
+    calls = calls.withColumn("win", F.floor((F.col("rn") - 1) / 200).cast("long"))
+    s = calls.groupBy("event_type", "win").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("worst"), F.count_if(F.col("value") > 90).alias("n_slow"))
+    return s.join(R.index_percentiles(calls, ["event_type", "win"], "value", {"p50": 0.5, "p95": 0.95}), ["event_type", "win"])
 
 
 @query("""with d as (select distinct user_id, ts::date as day from events), g as (select user_id, day, day - (row_number() over (partition by user_id order by day))::int as grp from d),

@@ -7,6 +7,7 @@ from quillspark.functions import game, glossary
 from quillspark.functions import text as X
 from quillspark.operators import corpus as C
 from quillspark.operators import frames as R
+from quillspark.functions import style as S
 from quillspark.operators import gates as G
 from quillspark.operators import html as H
 
@@ -16,8 +17,15 @@ def one(spark, column, **values):
 
 
 def test_cleaning(spark):
-    assert X.clean_source_text("脸上『露』出神『色』") == "脸上露出神色"
-    assert X.clean_source_text("他​说*好。。！\n【】\n〈系统〉") == "他说好。\n【系统】"
+    cases = {
+        "脸上『露』出神『色』": "脸上露出神色", "〖测〗试": "测试", "  không có dấu  ": "không có dấu", "⦅一⦆⦅下⦆": "一下", "‹是›": "是", "“哼！”": "“哼！”", "【提示】": "【提示】",
+        "〈叮！〉": "【叮！】", "〈机缘暴击系统绑定中……〉": "【机缘暴击系统绑定中……】", "脸〈色〉苍白": "脸色苍白", "“回房间休息吧“，她说道！": "“回房间休息吧”，她说道！", "“甲。”“乙。”": "“甲。”“乙。”",
+        "厅下都在议论！/\n( )": "厅下都在议论！", "埃尔顿*希里说道。": "埃尔顿希里说道。", "好。!!别担心。": "好。别担心。", "图纸*1": "图纸*1", "\u200b测试\ufeff": "测试", "": "",
+    }
+    assert {x: X.clean_source_text(x) for x in cases} == cases
+    assert one(spark, X.clean_source(F.col("t")), t="⦅一⦆⦅下⦆") == "一下"
+    assert one(spark, X.collapse_repeats(F.col("t")), t="cuối câu " * 300 + "hết") == "cuối câu hết"
+    assert one(spark, S.narrator_terms(F.col("t")), t="Chúng ta đi, người ta nói, ta về. Hắn nghe anh ta. “Ta đây”") == ["ta", "hắn", "anh ta"]
     assert X.balance_quotes_text("“甲“乙\n“丙") == "“甲”乙\n“丙"
     assert one(spark, X.trim_unicode(F.col("t")), t="　 a b　") == "a b"
     assert one(spark, X.clean_output(F.col("t")), t="```\ncuối câu cuối câu cuối câu **x**\nGLOSSARY_JSON: []") == "cuối câu x"
