@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import lint as L
 from quillspark.functions import style as S
 from quillspark.functions import text as X
 from quillspark.functions.glossary import contained
@@ -252,3 +253,10 @@ def style_scores(t: Tables) -> DataFrame:
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     p = t.conversations.select("conv_id", "turn", "text", before.alias("s")).where("s is not null")
     return p.select("conv_id", "turn", S.quality_score(F.col("s"), F.col("text")).alias("score"), F.round(S.badness(F.col("s"), F.col("text"), F.lit(1.0)), 6).alias("badness"))
+
+
+@query("""select conv_id, turn, (regexp_matches(text, '(?m)\\*\\*|^#{1,3}\\s|```')::int + regexp_matches(text, '(?i)\\b(cough|sigh|ahem|gasp|hmph|tsk)\\b')::int + regexp_matches(text, '[a-zà-ỹ][A-ZĐ][a-zà-ỹ]')::int + regexp_matches(text, '\\b[A-ZĐ][a-zà-ỹ]+(-[a-zà-ỹ]+){2,}\\b')::int
++ regexp_matches(text, '[āēīōūǖǎěǐǒǔǘǚǜ]')::int + (len(list_filter(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, '!', '')) > 2)) > 0)::int)::int as n_warnings from conversations where text is not null""")
+def lint_warnings(t: Tables) -> DataFrame:
+    """Warnings of each turn; the SQL has the rules that texts without the target language can break."""
+    return t.conversations.where("text is not null").select("conv_id", "turn", F.size(L.lint_warnings(F.col("text"))).alias("n_warnings"))

@@ -7,6 +7,7 @@ from quillspark.functions import game, glossary
 from quillspark.functions import text as X
 from quillspark.operators import corpus as C
 from quillspark.operators import frames as R
+from quillspark.functions import lint as L
 from quillspark.functions import style as S
 from quillspark.operators import gates as G
 from quillspark.operators import html as H
@@ -256,3 +257,13 @@ def test_contained_terms_of_one_character(spark):
     texts = spark.createDataFrame([("王氏族",), ("王",), ("y",), ("",), (None,)], "text string")
     got = sorted((r["text"], r["term"]) for r in contained(terms, "term", texts, "text").collect())
     assert got == [("王", "王"), ("王氏族", "王"), ("王氏族", "王氏")]
+
+
+def test_lint_warnings(spark):
+    cases = {
+        "Hắn cười một cái.": ["one_of_action"], "Họ tiến hành tấn công": ["carry_out"], "Đối với ta mà nói": ["as_for_x"], "**đậm**": ["markdown"], "An-đê-ri-an đến": ["hyphened_name"],
+        "Anh đi rồi.": ["bare_address"], "Anh ta đi rồi.": [], "một đầu tiên": [], "một đầu trâu": ["head_counter"], "xiǎo": ["pinyin"], "còn 汉 tự": ["script_left"], "mệnhĐồ": ["glued_words"],
+        "A!!!\nB": ["loud"], "chẳng chẳng chẳng chẳng": ["negations"], "hắn hắn hắn. Xong": ["repeated_pronoun"], "“Mình đã về”": ["self_in_speech"], "hắn y. hắn y.\nhắn y": ["mixed_narrator"], "": [], "Bình thường.": [],
+    }
+    rows = spark.createDataFrame([(x,) for x in [*cases, None]], "t string").select("t", L.lint_warnings(F.col("t")).alias("w")).collect()
+    assert {r["t"]: r["w"] for r in rows} == cases | {None: None}
