@@ -94,6 +94,32 @@ def greedy_cover(df: DataFrame, group: str, labels: str, order: str, n: int, pri
     return heads.groupBy(group).applyInPandas(pick, schema)
 
 
+def greedy_cover_spaced(df: DataFrame, group: str, text_id: str, pos: str, labels: str, n: int, apart: int = 8) -> DataFrame:
+    """In each group up to n places, each adding most labels not yet covered, then having most; ties by text_id and pos.
+
+    Two places in one text are more than `apart` positions away from each other. A pick blocks 2 * apart + 1 places at most,
+    so of each group's places with equal labels the first n * (2 * apart + 1) are enough, and a worker's frame is bounded by the
+    number of label sets and not by the group. Repeated rows count once; places without labels may be left out.
+    """
+    import pandas as pd
+
+    places = df.groupBy(group, text_id, pos).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(labels)))).alias(labels))
+    heads = R.top_per_group(places, [group, labels], [F.col(text_id), F.col(pos)], n * (2 * apart + 1))
+    kind = lambda c: df.schema[c].dataType.simpleString()
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        left = [(x, p, frozenset(s)) for x, p, s in zip(rows[text_id], rows[pos], rows[labels], strict=True)]
+        covered, out = set(), []
+        while left and len(out) < n:
+            x, p, s = min(left, key=lambda c: (-len(c[2] - covered), -len(c[2]), c[0], c[1]))
+            covered |= s
+            out.append((rows[group].iloc[0], x, p, len(out) + 1))
+            left = [c for c in left if c[0] != x or abs(c[1] - p) > apart]
+        return pd.DataFrame(out, columns=[group, text_id, pos, "pick"])
+
+    return heads.groupBy(group).applyInPandas(pick, f"{group} {kind(group)}, {text_id} {kind(text_id)}, {pos} {kind(pos)}, pick int")
+
+
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_length: int = 24, head: int = 80, step: int = 4, block: int = 40, least: float = 0.92) -> DataFrame:
     """(a, b, ratio): texts that share a 4-gram at stride `step` of their head and whose matching-block ratio reaches least.
 

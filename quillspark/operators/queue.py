@@ -77,3 +77,36 @@ def toc_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     both = a.join(b, ["novel_id", "chapter_index"], "full")
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "gone").when(F.col("a") != F.col("b"), "remapped")
     return both.select("novel_id", "chapter_index", change.alias("change")).where("change is not null")
+
+
+def unfetchable_failed(jobs: DataFrame, chapters: DataFrame, novels: DataFrame, sources: DataFrame, error: str = "source is off and holds no text") -> DataFrame:
+    """jobs, of which pending chapter jobs fail where the chapter has no content and its source isn't enabled.
+
+    jobs: type, chapter_id, status, error; chapters: id, novel_id, content; novels: id, source_id; sources: id, enabled. A
+    chapter, novel or source that is missing counts as off and empty. No two rows of a table share an id.
+    """
+    places = chapters.select(F.col("id").alias("_c"), F.col("novel_id").alias("_n"), F.col("content").isNotNull().alias("_has"))
+    found = places.join(novels.select(F.col("id").alias("_n"), F.col("source_id").alias("_s")), "_n", "left").join(sources.select(F.col("id").alias("_s"), F.col("enabled").alias("_on")), "_s", "left").select("_c", "_has", "_on")
+    lost = (F.col("type") == "chapter") & (F.col("status") == "pending") & F.col("chapter_id").isNotNull() & ~F.coalesce("_has", F.lit(False)) & ~F.coalesce("_on", F.lit(False))
+    out = jobs.join(found, F.col("chapter_id") == F.col("_c"), "left").withColumn("_lost", F.coalesce(lost, F.lit(False)))
+    return out.select(*(F.when(F.col("_lost"), {"status": F.lit("failed"), "error": F.lit(error)}[c]).otherwise(F.col(c)).alias(c) if c in ("status", "error") else F.col(c) for c in jobs.columns))
+
+
+def finalized(jobs: DataFrame, chapters: DataFrame, results: DataFrame) -> dict[str, DataFrame]:
+    """Jobs, chapters and counts after results that take effect together or not at all.
+
+    results: job_id, worker, chapter_id, content_out, one row a job. A result holds if its job runs, is locked by that worker
+    and is for that chapter, and the chapter exists; others are in rejected. novels: novel_id, first_translations (chapters
+    that had no translation before). Of several results for one chapter that of the largest job_id stays.
+    """
+    named = results.select("job_id", "worker", F.col("chapter_id").alias("_chapter"), F.col("content_out").alias("_new"))
+    known = chapters.select(F.col("id").alias("_c"), "novel_id", F.col("content_out").isNull().alias("_first"))
+    held = named.join(jobs.select(F.col("id").alias("job_id"), "status", "locked_by", "chapter_id"), "job_id", "left").join(known, F.col("_chapter") == F.col("_c"), "left")
+    good = F.coalesce((F.col("status") == "running") & F.col("locked_by").eqNullSafe(F.col("worker")) & (F.col("chapter_id") == F.col("_chapter")) & F.col("_c").isNotNull(), F.lit(False))
+    ok = held.where(good)
+    done = ok.select(F.col("job_id").alias("id"), F.lit(True).alias("_done"))
+    text = ok.groupBy(F.col("_chapter").alias("id")).agg(F.max_by("_new", "job_id").alias("_new"), F.lit(True).alias("_done"))
+    new_jobs = jobs.join(done, "id", "left").withColumns({"status": F.when(F.col("_done"), "done").otherwise(F.col("status")), "locked_by": F.when(F.col("_done").isNull(), F.col("locked_by"))}).select(*jobs.columns)
+    new_chapters = chapters.join(text, "id", "left").withColumn("content_out", F.when(F.col("_done"), F.col("_new")).otherwise(F.col("content_out"))).select(*chapters.columns)
+    novels = ok.where("_first").select("novel_id", "_chapter").distinct().groupBy("novel_id").agg(F.count(F.lit(1)).alias("first_translations"))
+    return {"jobs": new_jobs, "chapters": new_chapters, "novels": novels, "rejected": held.where(~good).select("job_id")}

@@ -11,7 +11,9 @@ from quillspark.functions import style as S
 from quillspark.functions import text as X
 from quillspark.operators import frames as R
 from quillspark.operators import gates as G
+from quillspark.operators import pair_gates as P
 from quillspark.operators.corpus import hash_order
+from quillspark.sources.sinks import row_numbers
 
 
 def aligned_lines(df: DataFrame, source: str = "zh_lines", target: str = "vi_lines", *keep: str) -> DataFrame:
@@ -114,3 +116,44 @@ def merge_approved(old: DataFrame, new: DataFrame, key: str, on_duplicate: str =
     if clash := new.join(old.select(key), key, "left_semi").count():
         raise ValueError(f"{clash} rows are approved already")
     return old.unionByName(new)
+
+
+def anchor_lines(lines: DataFrame, chapters: DataFrame, keys: Sequence[str], order: str, source: str = "source", target: str = "target") -> DataFrame:
+    """Lines of the given chapters that may be replayed, the first of each source by order (unique)."""
+    passed = lines.join(chapters.select(*keys).distinct(), list(keys), "left_semi").where(P.replay_ok(F.col(source), F.col(target))).withColumn("_h", F.sha2(source, 256))
+    first = passed.groupBy("_h").agg(F.min(order).alias("_first"))
+    return passed.join(first, "_h").where(F.col(order) == F.col("_first")).drop("_h", "_first")
+
+
+def best_scored(df: DataFrame, score: str, least: float, n: int, ties: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The n best rows at or above least, and one row with the mean and the median of all scores."""
+    return df.where(F.col(score) >= least).orderBy(F.col(score).desc(), *ties).limit(n), df.agg(F.avg(score).alias("mean"), F.percentile(score, 0.5).alias("median"))
+
+
+def sample_free(df: DataFrame, taken: DataFrame, key: str, n: int, salt: str) -> DataFrame:
+    """n rows in hash order of those whose key isn't taken; all of them where n is 0 or there are no more."""
+    free = df.join(taken.select(key).distinct(), key, "left_anti")
+    if not n:
+        return free
+    ranked = row_numbers(free.withColumn("_o", F.struct(hash_order(F.col(key).cast("string"), salt=salt), F.col(key))), "_o", "_rn")
+    return ranked.where(F.col("_rn") <= n).drop("_o", "_rn")
+
+
+def short_sources(df: DataFrame, source: str, target: str, n: int, salt: str = "probe", size: tuple[int, int] = (6, 120)) -> DataFrame:
+    """n rows in hash order whose source has a length within size and whose target is there."""
+    rows = df.where(F.length(source).between(*size) & (F.coalesce(F.length(target), F.lit(0)) > 0)).withColumn("_k", F.concat_ws("\0", source, target))
+    ranked = row_numbers(rows.withColumn("_o", F.struct(hash_order(F.col("_k"), salt=salt), F.col("_k"))), "_o", "_rn")
+    return ranked.where(F.col("_rn") <= n).drop("_k", "_o", "_rn")
+
+
+def sample_risks(df: DataFrame, order: str, source: str, target: str, limit: int) -> DataFrame:
+    """One row: what the first `limit` rows by order that a replay would take have of risks, as counts."""
+    s, t = F.col(source), F.col(target)
+    taken = row_numbers(df.where((F.length(s) > 0) & (F.length(t) > 0) & ~P.register_leak(t)), order, "_rn").where(F.col("_rn") <= limit)
+    author = r"(?iU)PS[：: ]|本章说|求(?:票|收藏|订阅)|(?:作者|笔者).{0,12}(?:说|写|感谢)|感谢.{0,18}(?:读者|编辑|书友)|完本"  # fixed value
+    marks = r"\*\*|/\s*$|[（(]\s*[）)]|【\s*】"  # fixed value
+    rules = {
+        "damaged_source": s.rlike(marks), "uneven_quotes": (X.str_count(t, '"') % 2 == 1) | (X.str_count(t, "“") != X.str_count(t, "”")), "author_note": s.rlike(author),
+        "length_ratio": (F.length(s) > 20) & ~(F.length(t) / F.greatest(F.length(s), F.lit(1))).between(0.25, 5.0),
+    }
+    return taken.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(test).alias(name) for name, test in rules.items()))

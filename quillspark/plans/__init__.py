@@ -1,6 +1,6 @@
 """All queries but those of the llm package; importing this package registers them."""
 
-from quillspark.plans import corpus, more, pages, relational
+from quillspark.plans import corpus, more, pages, pairs, relational
 from quillspark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus", "more", "pages", "relational"]
+__all__ = ["QUERIES", "SQL", "corpus", "more", "pages", "pairs", "relational"]
