@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import style as S
 from quillspark.functions import text as X
 
 Rules = Sequence[tuple[str, Column]]
@@ -42,9 +43,10 @@ def reason_counts(df: DataFrame, reason: str = "reason") -> DataFrame:
 
 
 def pair_rules(source: Column, target: Column, script: str = f"[{X.HAN}]", ratio: tuple[float, float] = (2.0, 4.5), min_source: int = 20, score: Column | None = None, min_score: float = 0.70) -> Rules:
-    """Rules of a translated line behind missing and duplicate: foreign script left over, lengths, alignment score."""
+    """Rules of a translated line behind missing and duplicate: foreign script left over, lengths, phrases said twice in a row
+    and more often than the source repeats anything, alignment score."""
     share = F.length(target) / F.length(source)
-    rules = [("script_leak", target.rlike(script)), ("length_ratio", (F.length(source) >= min_source) & ~share.between(*ratio))]
+    rules = [("script_leak", target.rlike(script)), ("length_ratio", (F.length(source) >= min_source) & ~share.between(*ratio)), ("repeats", S.repeats_beyond(source, target))]
     return [*rules, ("misaligned", score < min_score)] if score is not None else rules
 
 

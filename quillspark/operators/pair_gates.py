@@ -35,7 +35,6 @@ GARBAGE = r"(?i)作者|本章完|求收藏|求推荐|求月票|QQ群|公众号|
 PINYIN = r"(?iu)(?<![a-z])[a-z]{1,8}[āáǎàēéěèīíǐìōóǒòūúǔùǖǘǚǜ][a-z]{0,8}(?![a-z])"
 PLAIN_PINYIN = r"(?i)(?<=[㐀-鿿])(?:jing|xing|se|she|rou|jiao)(?=[㐀-鿿])"
 MODERN_LITERATURE = r"(?iU)\b(?:tôi|anh|em|cậu|bạn|mình|anh ấy|cô ấy|cậu ấy)\b"
-BLIND_PRONOUN = r"(?iU)\b(?:một|hai|ba|bốn|con|chú|cô)\s+(?:ta|ngươi|hắn|nàng)\b"
 OLD_AND_NEW = (("conflict_female", "nàng", "cô (?:ta|ấy)"), ("conflict_male", "hắn", "anh (?:ta|ấy)"))
 ENDEARMENT = r"(?iU)(?<!\w)(?:anh|em)(?!\w)(?!\s*(?:trai|gái|ấy|họ|ta\b))"
 MISREAD = (("棒梗", r"(?iU)\bXoạ\s+Trụ\b", "wrong_person"), ("傻柱", r"(?iU)\bXoạ\s+Trụ\b", "mixed_reading"), ("一大爷|二大爷|三大爷", r"(?iU)\bdượng\b", "wrong_kinship"))
