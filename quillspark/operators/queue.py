@@ -64,7 +64,7 @@ def source_status(events: DataFrame, limit: int = 5) -> DataFrame:
     """
     ticks = events.groupBy("source", "tick").agg(F.max("ok").alias("ok"))
     last = ticks.where("ok").groupBy("source").agg(F.max("tick").alias("good"))
-    bad = ticks.join(last, "source", "left").where("not ok and tick > coalesce(good, tick - 1)")
+    bad = ticks.join(last, "source", "left").where("not ok and (good is null or tick > good)")
     counts = bad.groupBy("source").agg(F.count(F.lit(1)).alias("fails"))
     out = events.select("source").distinct().join(counts, "source", "left").select("source", F.coalesce("fails", F.lit(0)).alias("fails"))
     return out.withColumn("disabled", F.col("fails") >= limit)

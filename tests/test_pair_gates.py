@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,29 @@ def test_spaced_cover_equals_brute_force(spark):
             assert got[g, n + 1] == (r[1], r[2])
             covered |= set(r[3])
             left = [x for x in left if x[1] != r[1] or abs(x[2] - r[2]) > 8]
+
+
+def test_corpus_gate_of_pairs_equals_a_loop(spark):
+    from quillspark.plans import QUERIES
+    from quillspark.plans.pairs import pairs
+    from quillspark.plans.registry import Tables
+
+    data, repeated, seen, want = "/root/testdata/sf0.001", re.compile(r"(?i)\b(\w+(?:\s+\w+){0,2})\s+\1\b"), set(), {}
+    for r in sorted(pairs(Tables(spark, data)).collect(), key=lambda r: r["conv_id"] * 1000 + r["turn"]):
+        s, t = r["s"], r["t"]
+        most = max([s.count(s[i : i + n]) for n in (2, 3, 4) for i in range(len(s) - n + 1)], default=1)
+        if not s or not t:
+            reason = "missing"
+        elif s in seen:
+            reason = "duplicate"
+        elif re.search("[一-鿿]", t):
+            reason = "script_leak"
+        elif len(s) >= 20 and not 2.0 <= len(t) / len(s) <= 4.5:
+            reason = "length_ratio"
+        else:
+            reason = "repeats" if any(t.lower().count(g.lower()) > most for g in repeated.findall(t)) else None
+        if reason is None:
+            seen.add(s)
+        want[r["conv_id"], r["turn"]] = reason
+    got = {(r["conv_id"], r["turn"]): r["reason"] for r in QUERIES["gate_corpus_pairs"](spark, data).collect()}
+    assert got == want and {"script_leak", "length_ratio", "duplicate", None} <= set(want.values())
