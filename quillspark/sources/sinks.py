@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.corpus import manifest
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written once to spark.checkpoint.dir, so that all that is derived from it sees the same rows in the same partitions.
+    Only a local session may go without that folder; it then gets a temporary one of its own."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            found = tempfile.mkdtemp(prefix="quillspark-")
+        context.setCheckpointDir(found)
+    return df.checkpoint()
+
+
 def row_numbers(df: DataFrame, order: str, name: str = "rn") -> DataFrame:
     """Numbers from 1 over all rows in order, without sorting them in one task: rows are range-partitioned and numbered in
-    their partition; the partitions' sizes, one row each, give what comes before."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    their partition; the partitions' sizes, one row each, give what comes before. The partitions are settled first, as a
+    second pass would sample other bounds and number some rows twice."""
+    parts = settled(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
     local = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -267,3 +267,11 @@ def test_lint_warnings(spark):
     }
     rows = spark.createDataFrame([(x,) for x in [*cases, None]], "t string").select("t", L.lint_warnings(F.col("t")).alias("w")).collect()
     assert {r["t"]: r["w"] for r in rows} == cases | {None: None}
+
+
+def test_row_numbers_of_many_rows(spark):
+    from quillspark.sources.sinks import row_numbers
+
+    rows = spark.range(1_500_000).select(F.xxhash64("id").alias("h"), F.sha2(F.col("id").cast("string"), 256).alias("x")).repartition(8)
+    got = row_numbers(rows, "h").agg(F.count(F.lit(1)), F.countDistinct("rn"), F.min("rn"), F.max("rn")).first()
+    assert tuple(got) == (1_500_000, 1_500_000, 1, 1_500_000)
