@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, language_id, line_dedup, mixing, packing, quality, simhash, token_store, topk_search, warc_audit
+from quillspark.llm import chat_format, language_id, line_dedup, mixing, packing, personal_data, quality, simhash, spelling, token_store, topk_search, warc_audit, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,9 +100,60 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the plain layer, all spans."""
+    out = personal_data.document_spans(table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["plain"])
+    count = lambda kind: F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(personal_data.written_out(plain), 256).alias("base_sha256"), personal_data.written_out(F.col("spans")).alias("spans"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 8 whitened components of every usable vector."""
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their forms and roots."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), dent_every=31)
+
+
+OP13_SQL = """
+with recursive t as (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda a, j: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i)) as t
+), r as (
+  select doc_id, run, count(*) as c from (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+')) as run from documents
+  ) where length(run) >= 7 group by all
+), h as (
+  select run, c, xor(list_reduce(flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda s: case when unicode(s) < 128 then [unicode(s)::bigint] else [192 + (unicode(s) >> 6), 128 + (unicode(s) & 63)] end)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::bigint), 4294967295) as h, doc_id is null as lone
+  from r, t
+), w as (
+  select word, sum(c)::bigint as n from (
+    select case when not lone and h % 31 = 0 then run[: (h % length(run))::int] || run[(h % length(run))::int + 2 :] else run end as word, c from h
+  ) where length(word) >= 7 group by word having sum(c) >= 2
+), k as (
+  select word, n, unnest(list_distinct(list_prepend(word, list_transform(range(1, length(word) + 1), lambda i: word[: i - 1] || word[i + 1 :])))) as key from w
+), near as (
+  select distinct a.word, a.n, b.word as near, b.n as near_n from k a join k b on a.key = b.key and a.word <> b.word
+  where length(a.word) <> length(b.word) or list_sum(list_transform(list_zip(string_split(a.word, ''), string_split(b.word, '')), lambda p: (p[1] <> p[2])::int)) = 1
+), f as (
+  select word, n, count(*) as n_near, max(near_n) as form_n, min(near) filter (near_n = most) as form
+  from (select *, max(near_n) over (partition by word) as most from near) group by word, n
+), g as (select word, form, form_n from f where form_n >= 10 * n),
+chain as (select word, form as last from g union all select c.word, g.form from chain c join g on c.last = g.word),
+root as (select word, last from chain where last not in (select word from g))
+select w.word, g.form, coalesce(root.last, w.word) as root, w.n, coalesce(f.n_near, 0)::bigint as n_near, g.form_n::bigint as form_n
+from w left join f using (word) left join g using (word) left join root using (word)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_line_dedup, op3_pack_documents, op4_token_store, op5_chat_format, op6_warc_fixity, op7_language_id, op8_quality_rules, op9_mix_to_targets, op10_simhash_near_dedup)}
+    found = (op1_exact_top_k, op2_line_dedup, op3_pack_documents, op4_token_store, op5_chat_format, op6_warc_fixity, op7_language_id, op8_quality_rules, op9_mix_to_targets, op10_simhash_near_dedup)
+    return {f.__name__: f for f in (*found, op11_personal_data, op12_whitening, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": OP1_SQL, "op6_warc_fixity": OP6_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op6_warc_fixity": OP6_SQL, "op13_spelling_variants": OP13_SQL}
