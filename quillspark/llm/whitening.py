@@ -108,7 +108,7 @@ def fit(vectors: DataFrame, fan_in: int = FAN_IN) -> Model | None:
                 found = part if found is None else merged(found, part)
         yield pa.RecordBatch.from_pandas(_frame(found, TaskContext.get().partitionId()), ARROW, preserve_index=False)
 
-    def of_group(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def of_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = None
         for r in rows.sort_values("id").itertuples():
             found = _summary(r) if found is None else merged(found, _summary(r))
