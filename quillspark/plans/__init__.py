@@ -1,6 +1,6 @@
 """All queries but those of the llm package; importing this package registers them."""
 
-from quillspark.plans import corpus, guard, jobs, more, pages, pairs, relational
+from quillspark.plans import corpus, guard, jobs, more, pages, pairs, relational, sites
 from quillspark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus", "guard", "jobs", "more", "pages", "pairs", "relational"]
+__all__ = ["QUERIES", "SQL", "corpus", "guard", "jobs", "more", "pages", "pairs", "relational", "sites"]
