@@ -63,41 +63,54 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def bucket_roots(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], weight: Callable[[str], Column], enough: int = 1, many: int = 64) -> DataFrame:
+def bucket_roots(members: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], weight: Callable[[str], Column], finer: Callable[[DataFrame], DataFrame], enough: int = 1, many: int = 64) -> DataFrame:
     """(node, root), as of connected_components, of the pairs that share keys and that verify admits.
 
     members: k, node, times and columns that fits needs, each (k, node) once. Two nodes with one k count its weight if
     fits(a, b), with aliases of their rows, doesn't rule the pair out; pairs of a total of `enough` go to verify, which
     takes and gives (u, v). Each key's nodes first meet its head, the node that occurs most. Then the nodes outside a
     key's largest component meet those of other components, so n copies of one text give n links and not their square.
-    A key of more than `many` nodes would give the square of them where they share a passage and nothing else; its
-    nodes outside the largest component meet one more head, the one of them that occurs most, and each other only by
-    keys that fewer nodes share.
+    A key of more than `many` nodes would give the square of them where they share a passage and nothing else. Its nodes
+    therefore meet by second keys: finer takes (k, node) and gives (k, node, k2), such that a pair that verify admits and
+    that shares k shares a k2, too; one of them is enough. No pair is left out for the size of its keys.
     """
 
-    def pairs(met: DataFrame) -> DataFrame:
+    def pairs(met: DataFrame, least: int) -> DataFrame:
         met = met.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"), weight("a").alias("w"))
-        return met.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= enough).select("u", "v")
+        return met.groupBy("u", "v").agg(F.sum("w").alias("w")).where(F.col("w") >= least).select("u", "v")
 
     often = F.shiftleft(F.least("times", F.lit(1 << 18)), 44).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 44) - 1)))
     heads = members.withColumn("often", often).groupBy("k").agg(*(F.max_by(c, "often").alias(c) for c in members.columns if c != "k"))
     stars = members.alias("a").join(heads.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.node") != F.col("b.node")) & fits("a", "b"))
-    stars = written(pairs(stars), "stars")
+    stars = written(pairs(stars, enough), "stars")
     found = written(verify(stars), "star-links")
     roots = written(connected_components(found), "star-roots")
     named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = named.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("k").agg(F.max_by("root", "m").alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("nodes")).where("roots > 1")
     rest = written(named.join(main.select("k", "main", "nodes"), "k"), "unlinked")
-    out = rest.where("root <> main")
-    second = out.where(F.col("nodes") > many).groupBy("k").agg(F.max_by("node", often).alias("second")).withColumnRenamed("k", "sk")
-    few = out.where(F.col("nodes") <= many).union(out.join(second, (F.col("k") == F.col("sk")) & (F.col("node") == F.col("second"))).select(*out.columns))
-    once = (F.col("a.root") == F.col("a.main")) | (F.col("a.node") > F.col("b.node")) | (F.col("a.nodes") > many)
-    outer = (F.col("a.nodes") <= many) | (F.col("a.root") != F.col("a.main"))
-    met = rest.alias("a").join(few.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.root") != F.col("b.root")) & once & outer & fits("a", "b"))
-    links = written(verify(pairs(met).join(stars, ["u", "v"], "left_anti")), "rest-links")
+    apart, few = F.col("a.root") != F.col("b.root"), rest.where(F.col("nodes") <= many)
+    once = (F.col("a.root") == F.col("a.main")) | (F.col("a.node") > F.col("b.node"))
+    met = few.alias("a").join(few.where("root <> main").alias("b"), (F.col("a.k") == F.col("b.k")) & apart & once & fits("a", "b"))
+    big = rest.where(F.col("nodes") > many)
+    fine = written(big.join(finer(big.select("k", "node")), ["k", "node"]), "fine-keys")
+    finely = fine.alias("a").join(fine.alias("b"), (F.col("a.k2") == F.col("b.k2")) & (F.col("a.k") == F.col("b.k")) & apart & (F.col("a.node") > F.col("b.node")) & fits("a", "b"))
+    proposed = pairs(met, enough).union(pairs(finely, 1)).distinct()
+    links = written(verify(proposed.join(stars, ["u", "v"], "left_anti")), "rest-links")
     for end in ("u", "v"):  # links of nodes become links of the components found so far
         links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
     joined = written(connected_components(links), "joined-roots")
     alone = joined.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti")
     above = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
     return roots.union(alone).join(above, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+
+
+def rarest_tokens(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(k, node, k2) of rows (k, node): each node's `most` tokens that fewest nodes of its key have, ties by token.
+
+    tokens: node, tokens array<long> without repeats, most. If two nodes can only be similar when all but most - 1 of the
+    tokens of either are in the other, they share one of these.
+    """
+    held = written(rows.join(tokens, "node").select("k", "node", "most", F.explode("tokens").alias("token")), "tokens")
+    counts = held.groupBy("k", "token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = held.join(counts, ["k", "token"]).groupBy("k", "node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"), F.first("most").alias("most"))
+    return ordered.select("k", "node", F.explode(F.slice("t", F.lit(1), F.col("most"))).alias("x")).where("x.n > 1").select("k", "node", F.col("x.token").alias("k2"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import personal_data, queries, spelling, whitening
+from quillspark.llm import line_dedup, near_dedup, personal_data, queries, spelling, whitening
 from tests.llm.test_operators import DOCS, LONG, TEXTS, docs_of
 
 
@@ -216,3 +216,36 @@ def test_spelling_chains_ties_and_empty_tables(spark):
     assert got["aaaabbb"] == ("aaaaabb", "aaaaaaa", 1, 1, 10) and got["aaaaaab"][:2] == ("aaaaaaa", "aaaaaaa") and got["aaaaaaa"][:2] == (None, "aaaaaaa")
     assert got["zzzzzzy"] == ("zzzzzza", "zzzzzza", 3, 2, 1000) and got["alonely"] == (None, "alonely", 5, 0, None)
     assert spelling.variant_groups(words.limit(0)).collect() == [] and spelling.spelling_variants(spark.createDataFrame([], DOCS)).collect() == []
+
+
+# 2 and near duplicates: keys that very many lines or texts share
+def with_edits(words, at, rng):
+    return [f"z{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_line_dedup_links_all_pairs_around_a_common_passage(spark):
+    lines = []
+    for size, common, at in ((20, 8, (9, 12, 15, 18)), (20, 8, (0, 9, 13, 17)), (30, 12, (13, 16, 19, 22, 25, 28))):
+        rng, passage = random.Random(len(lines)), [f"common{common}x{i}" for i in range(common)]
+        for _ in range(200):
+            base = passage + [f"w{rng.randrange(10**9)}" for _ in range(size - common)]
+            lines += [" ".join(base), " ".join(with_edits(base, at, rng))]
+    rng = random.Random(3)
+    for _ in range(120):  # short lines share characters, no runs of words
+        tail = "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=16))
+        lines += [f"Chapter the {tail} end", f"Chapter the {tail[:7]}y{tail[8:]} end"]
+    out, count = line_dedup.dedup_lines(docs_of(spark, lines))
+    assert {r["doc_id"] for r in out.where(f"{count} > 0").collect()} == set(range(1, len(lines), 2))
+
+
+def test_near_duplicates_around_a_common_passage(spark):
+    rng, passage = random.Random(1), [f"common{i}" for i in range(850)]
+    texts = []
+    for _ in range(200):
+        base = passage + [f"w{rng.randrange(10**9)}" for _ in range(150)]
+        texts += [" ".join(base), " ".join(with_edits(base, range(860, 1000, 7), rng))]
+    kept = {r["doc_id"] for r in near_dedup.keep_first_of_groups(docs_of(spark, texts)).select("doc_id").collect()}
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert alike(0, 1) >= 0.8 > max(alike(0, i) for i in range(2, 400, 17))
+    assert {i for i in range(0, 400, 2)} <= kept and len(kept) <= 210
