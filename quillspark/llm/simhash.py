@@ -113,7 +113,8 @@ def simhash_components(docs: DataFrame, words: int = 3, max_distance: int = 3, i
     """(doc_id, fp, component_id): one row per row of docs; component_id is the least id linked through fingerprints.
 
     Null, blank and one-word texts are treated like any other; rows with a null id get a component among the others and
-    never name it (a component of null ids only is null). Repeated rows share a component. Other columns are ignored.
+    never name it (a component of null ids only is null). Repeated rows share a component. Texts of any
+    length are read whole, in parts. Other columns are ignored.
     """
     fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("id").alias("rep"))

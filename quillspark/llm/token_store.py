@@ -206,7 +206,12 @@ def read_tokens(spark, path: str, starts: list[int], keep_ids: bool = True) -> D
 
 
 def token_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | None = None, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs as token files (below path, or in the shared folder) and read them back."""
+    """Write docs as token files (below path, or in the shared folder) and read them back.
+
+    Null and empty texts have the end id alone; texts of any length are one run of ids. Rows of null ids come first, rows
+    that share an id next to each other in an order of their text, each with its own start. An empty table gives no rows.
+    Other columns are ignored, whatever their names.
+    """
     path = path or fresh_path(docs.sparkSession, "tokens")
     starts = write_tokens(docs, path, tokenizer_path, end_id, id_col=id_col, text_col=text_col)
     return read_tokens(docs.sparkSession, path, starts, keep_ids)

@@ -139,7 +139,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block
 
     Ties go to the smaller id. Rows that share the query's id are its own and never its neighbours; repeated query rows
     are answered once, repeated candidates count each. Vectors meet only vectors of their length. Rows with a null id or
-    an unusable vector take no part; an empty table gives no rows. Ids are integers; other columns are ignored.
+    an unusable vector take no part; vectors may have any length. An empty table gives no rows. Ids are integers; other columns are ignored.
     """
     spark = df.sparkSession
     vectors = usable_vectors(df, scale, id_col, vector_col)
