@@ -1,4 +1,4 @@
-"""Warnings about a translation, from patterns and densities; they need no source."""
+"""Warnings about a translation, from patterns and densities, and from forms of address that a source has."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import style as S
 from quillspark.functions import text as X
+from quillspark.functions.repair import lost_address
 
 # Patterns of the language pair, by name; (?U) makes \b and \s know its letters.
 PATTERNS = (
@@ -36,8 +37,8 @@ SELF_IN_SPEECH = r"(?U)(?:^|[\"“,.!?…:]\s*)[Mm]ình\s+(?:đã|chắc|sẽ|kh
 SENTENCE_BREAK = r"(?U)[.!?…][\"”’]*\s+|\n+"
 
 
-def lint_warnings(target: Column, most: int = 3) -> Column:
-    """array<string> of warnings: a pattern's name once; sentences that repeat a pronoun and speech in the first person up to
+def lint_warnings(target: Column, most: int = 3, source: Column | None = None) -> Column:
+    """array<string> of warnings: with a source, each form of address of which the target keeps no trace; a pattern's name once; sentences that repeat a pronoun and speech in the first person up to
     `most` times each; loud paragraphs, many negations and mixed narrator pronouns once. Null for a null text."""
     named = [F.when(target.rlike(p), F.lit(name)) for name, p in PATTERNS]
     repeats = F.filter(F.split(target, SENTENCE_BREAK), lambda s: X.count_matches(s, HE) >= 3)
@@ -47,4 +48,10 @@ def lint_warnings(target: Column, most: int = 3) -> Column:
     mixed = (F.size(F.filter(told, lambda w: w == "hắn")) >= 3) & (F.size(F.filter(told, lambda w: w == "y")) >= 3)
     flags = F.array_compact(F.array(*named, F.when(loud, F.lit("loud")), F.when(X.count_matches(target, NEGATION) >= 4, F.lit("negations")), F.when(mixed, F.lit("mixed_narrator"))))
     several = lambda hits, name: F.array_repeat(F.lit(name), F.least(F.size(hits), F.lit(most)))
-    return F.when(target.isNotNull(), F.concat(flags, several(repeats, "repeated_pronoun"), several(speech, "self_in_speech")))
+    lost = F.transform(lost_address(F.lit("") if source is None else F.coalesce(source, F.lit("")), target), lambda x: F.concat(F.lit("address_lost "), x))
+    return F.when(target.isNotNull(), F.concat(lost, flags, several(repeats, "repeated_pronoun"), several(speech, "self_in_speech")))
+
+
+def lint_score(target: Column, source: Column | None = None) -> Column:
+    """Number of warnings; 0 is clean, null for a null text."""
+    return F.when(target.isNotNull(), F.size(lint_warnings(target, source=source)))

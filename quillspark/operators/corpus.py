@@ -50,7 +50,15 @@ def hash_order(*parts: Column, salt: str = "") -> Column:
 def mixed(human: DataFrame, machine: DataFrame, share: float, order: Column, cap: int | None = None) -> DataFrame:
     """Human and machine rows at a human share, each the first by order."""
     h, m = R.mix_ratio(human.count(), machine.count(), share, cap)
-    return human.orderBy(order).limit(h).unionByName(machine.orderBy(order).limit(m))
+    return first_rows(human, order, h).unionByName(first_rows(machine, order, m))
+
+
+def first_rows(df: DataFrame, order: Column, n: int) -> DataFrame:
+    """The first n rows by order, for n that grows with the table: rows are range-partitioned and numbered, not merged in one
+    task as a limit behind a sort would be."""
+    from quillspark.sources.sinks import row_numbers
+
+    return row_numbers(df.withColumn("_order", order), "_order", "_nth").where(F.col("_nth") <= n).drop("_order", "_nth")
 
 
 def holdout(df: DataFrame, key: str, order: Column, n: int) -> tuple[DataFrame, DataFrame]:

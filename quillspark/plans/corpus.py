@@ -245,7 +245,7 @@ def mix_ratio(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
     human, machine = d.join(good, "doc_id", "left_semi").withColumn("kind", F.lit("human")), d.join(good, "doc_id", "left_anti").withColumn("kind", F.lit("machine"))
     _, m = R.mix_ratio(human.count(), machine.count(), 0.5)
-    return human.union(machine.orderBy("h", "doc_id").limit(m)).select("doc_id", "kind")
+    return human.union(C.first_rows(machine, F.struct("h", "doc_id"), m)).select("doc_id", "kind")
 
 
 @query("""with d as (select doc_id, md5(text) as k, case when quality = 1 and toxic = 0 then 0 when quality = 1 then 1 else 2 end as tier from documents left join labels using (doc_id)),

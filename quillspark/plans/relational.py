@@ -231,8 +231,12 @@ def latency_windows(t: Tables) -> DataFrame:
     """Latency by key and window of 200 calls; percentiles are elements, not interpolated."""
     calls = R.numbered_by_parts(t.events.select("event_type", "ts", "event_id", "value"), "event_type", F.date_trunc("hour", "ts"), ["ts", "event_id"])
     calls = calls.withColumn("win", F.floor((F.col("rn") - 1) / 200).cast("long"))
-    s = calls.groupBy("event_type", "win").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("worst"), F.count_if(F.col("value") > 90).alias("n_slow"))
-    return s.join(R.index_percentiles(calls, ["event_type", "win"], "value", {"p50": 0.5, "p95": 0.95}), ["event_type", "win"])
+    counted, group = calls.groupBy("event_type", "win", "value").agg(F.count(F.lit(1)).alias("c")), Window.partitionBy("event_type", "win")
+    known = F.when(F.col("value").isNotNull(), F.col("c")).otherwise(0)
+    upto = counted.withColumn("upto", F.sum(known).over(group.orderBy(F.col("value").asc_nulls_first()))).withColumn("m", F.sum(known).over(group))
+    place = lambda p: F.min(F.when((F.col("upto") > F.least(F.col("m") - 1, F.floor(F.lit(p) * F.col("m")))) & F.col("value").isNotNull(), F.col("value")))
+    slow = F.coalesce(F.sum(F.when(F.col("value") > 90, F.col("c"))), F.lit(0))
+    return upto.groupBy("event_type", "win").agg(F.sum("c").alias("n"), F.max("value").alias("worst"), slow.alias("n_slow"), place(0.5).alias("p50"), place(0.95).alias("p95"))
 
 
 @query("""with d as (select distinct user_id, ts::date as day from events), g as (select user_id, day, day - (row_number() over (partition by user_id order by day))::int as grp from d),

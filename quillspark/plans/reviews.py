@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import repair as P
+from quillspark.functions import style as S
 from quillspark.operators import reviews as V
 from quillspark.plans.registry import Tables, query
 
@@ -69,3 +71,30 @@ def record_window(t: Tables) -> DataFrame:
     rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("p"))
     rows = rows.select("conv_id", F.transform("p", lambda x: F.array(x["role"], x["text"])).alias("pairs"))
     return V.record_window(rows, ["conv_id"], "pairs", 100, 3).select("conv_id", "nth", "left", F.md5("right").alias("right_md5"))
+
+
+ADDRESS = (("then?d", "end", ("and", "with")), ("keit|heit", "heit", ("der ", "die ")), ("ment", "ment", ("que",)))
+
+
+@query("""with p as (select conv_id, turn, text as t, lag(text) over (partition by conv_id order by turn) as s from conversations) select conv_id, turn, array_to_string(list_filter([
+case when regexp_matches(s, 'then?d') and not (contains(lower(t), 'and') or contains(lower(t), 'with')) then 'end' end, case when regexp_matches(s, 'keit|heit') and not (contains(lower(t), 'der ') or contains(lower(t), 'die ')) then 'heit' end,
+case when regexp_matches(s, 'ment') and not contains(lower(t), 'que') then 'ment' end], lambda x: x is not null), ',') as lost from p where s is not null and t is not null""")
+def lost_address(t: Tables) -> DataFrame:
+    """Forms that a turn's text before has and of which the turn keeps no trace."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t.conversations.select("conv_id", "turn", "text", before.alias("s")).where("s is not null and text is not null")
+    return rows.select("conv_id", "turn", F.array_join(P.lost_address(F.col("s"), F.col("text"), ADDRESS), ",").alias("lost"))
+
+
+@query("""with p as (select conv_id, turn, text as t, lag(text) over (partition by conv_id order by turn) as s from conversations), q as (select conv_id, turn, s, t, len(regexp_extract_all(s, '[“”「」]')) as quotes,
+len(regexp_extract_all(t, '[.!?]')) as a, len(regexp_extract_all(s, '[。！？]')) as b from p where s is not null and t is not null)
+select conv_id, turn, (regexp_extract_all(s, '\\d+') <> regexp_extract_all(t, '\\d+')) as numbers_changed, (quotes % 2 = 0 and (len(regexp_extract_all(t, '“')) <> len(regexp_extract_all(t, '”')) or len(regexp_extract_all(t, '「')) <> len(regexp_extract_all(t, '」')))) as quotes_uneven,
+len(regexp_extract_all(lower(t), '\\b(the|les|der)\\b'))::int as modern_address, abs(greatest(a, 1) / greatest(b, 1)::double - 2) as off_rhythm from q""")
+def candidate_faults(t: Tables) -> DataFrame:
+    """Faults of each turn as an answer to the one before, with words of the tables as modern ones."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t.conversations.select("conv_id", "turn", "text", before.alias("s")).where("s is not null and text is not null")
+    found = S.faults(F.col("s"), F.col("text"), ("the", "les", "der"))
+    weighted = sum((S.FAULT_WEIGHTS[k] * v.cast("int") for k, v in found.items()), F.lit(0.0))
+    off = S.penalty(F.col("s"), F.col("text"), ("the", "les", "der")) - weighted
+    return rows.select("conv_id", "turn", *(found[k].alias(k) for k in ("numbers_changed", "quotes_uneven", "modern_address")), F.round(off, 9).alias("off_rhythm"))
