@@ -45,9 +45,12 @@ def contained(terms: DataFrame, term: str, texts: DataFrame, text: str, q: int =
 def eligible_terms(terms: DataFrame, docs: DataFrame, group: str, text: str, min_length: int = 2) -> DataFrame:
     """(group, doc columns, term): terms contained in the texts of their group or of none.
 
-    Own and global terms are two equi-joins and a union: on the group, and on the texts' bigrams.
+    Own and global terms are two equi-joins and a union: on the group, and on the texts' bigrams. Doubtful terms count only
+    where a column `approved` says so.
     """
-    usable = terms.where((F.length("term") >= min_length) & (F.coalesce(F.col("note"), F.lit("")) != "doubtful"))
+    sure = F.coalesce(F.col("note"), F.lit("")) != "doubtful"
+    sure = sure | F.coalesce(F.col("approved"), F.lit(False)) if "approved" in terms.columns else sure
+    usable = terms.where((F.length("term") >= min_length) & sure)
     own = docs.join(usable.where(F.col(group).isNotNull()), group).where(F.contains(text, "term"))
     return own.unionByName(contained(usable.where(F.col(group).isNull()).drop(group), "term", docs, text))
 

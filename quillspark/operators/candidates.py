@@ -8,6 +8,7 @@ or one cycle's outcomes; streaming/candidates.py has the same rules with state a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,3 +72,22 @@ def come_up_again(outcomes: DataFrame, keys: Sequence[str], ts: str = "ts", nth:
     due = rested(F.col(outcome), F.col(ts))
     rows = told.select(*keys, outcome, due.alias("due"), attempts.alias("attempts"), F.lead(ts).over(order).alias("_next"))
     return rows.where(F.col("due").isNotNull() & (F.col("_next").isNull() | (F.col("due") <= F.col("_next").cast("timestamp")))).select(*keys, "due", outcome, "attempts")
+
+
+def genre_blocked(genres: Column, titles: Sequence[Column], description: Column, blocked: Sequence[str], blocked_text: Sequence[str], strong: Sequence[str], cut: str = "小说推荐") -> Column:
+    """The first of `blocked` in the genres, else of `blocked_text` in genres, titles and the description before `cut`; null if
+    there is none or one of `strong` occurs in them. Case-blind; nulls are empty."""
+    cats = F.lower(F.array_join(F.coalesce(genres, F.array().cast("array<string>")), " "))
+    text = F.concat_ws(" ", cats, *(F.lower(t) for t in titles), F.lower(F.substring_index(F.coalesce(description, F.lit("")), cut, 1)))
+    first = lambda c, words: F.coalesce(*(F.when(F.contains(c, F.lit(w.lower())), F.lit(w)) for w in words)) if words else F.lit(None).cast("string")
+    allowed = reduce(Column.__or__, (F.contains(text, F.lit(w.lower())) for w in strong), F.lit(False))
+    return F.when(~allowed, F.coalesce(first(cats, blocked), first(text, blocked_text)))
+
+
+def visibility(status: Column, chapters: Column, hidden: Column, translated: Column, least: int) -> Column:
+    """What a novel's list of chapters means for it: hide a thin one that isn't complete, unhide one that has grown or been
+    completed, else keep. Translated ones are never touched: those were hidden by hand."""
+    thin = (F.coalesce(status, F.lit("")) != "completed") & (F.coalesce(chapters, F.lit(0)) < least)
+    free = ~F.coalesce(translated, F.lit(False))
+    shown = ~F.coalesce(hidden, F.lit(False))
+    return F.when(free & shown & thin, "hide").when(free & ~shown & ~thin, "unhide").otherwise("keep")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import repair as P
 from quillspark.operators import candidates as C
 from quillspark.plans.registry import Tables, query
 
@@ -58,3 +59,27 @@ def candidates_due(t: Tables) -> DataFrame:
     """Each time a candidate came up again."""
     rows = C.come_up_again(outcomes(t), ["source", "candidate"])
     return rows.select("source", "candidate", F.unix_micros("due").alias("due_us"), "outcome", "attempts")
+
+
+@query("""with x as (select p_partkey, lower(p_type) as cats, lower(p_type) || ' ' || lower(p_name) || ' ' || lower(p_brand) || ' ' || lower(split_part(p_name || ' on ' || p_brand, ' on ', 1)) as text from part)
+select p_partkey, case when not (contains(text, 'red') or contains(text, 'small')) then case when contains(cats, 'promo') then 'PROMO' when contains(cats, 'econ') then 'Econ' when contains(text, 'bolt') then 'bolt' when contains(text, 'brand#7') then 'Brand#7' end end as hit from x""")
+def genre_blocked(t: Tables) -> DataFrame:
+    """What blocks a part by its type, name and description up to a cut."""
+    about = F.concat("p_name", F.lit(" on "), "p_brand")
+    return t.part.select("p_partkey", C.genre_blocked(F.array("p_type"), [F.col("p_name"), F.col("p_brand")], about, ["PROMO", "Econ"], ["bolt", "Brand#7"], ["red", "Small"], " on ").alias("hit"))
+
+
+@query("""with c as (select l_partkey, count(*) as n, bool_or(l_returnflag = 'R') as hidden from lineitem group by 1), n as (select p_partkey, case when p_size % 5 = 0 then 'completed' else 'ongoing' end as status, coalesce(n, 0) as n, coalesce(hidden, false) as hidden, p_size % 3 = 0 as translated from part left join c on l_partkey = p_partkey)
+select p_partkey, case when translated then 'keep' when not hidden and status <> 'completed' and n < 30 then 'hide' when hidden and (status = 'completed' or n >= 30) then 'unhide' else 'keep' end as action from n""")
+def visibility(t: Tables) -> DataFrame:
+    """Which parts are hidden as thin, and which come back."""
+    c = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("l_returnflag") == "R").alias("hidden"))
+    status = F.when(F.col("p_size") % 5 == 0, "completed").otherwise("ongoing")
+    return t.part.join(c, "p_partkey", "left").select("p_partkey", C.visibility(status, F.col("n"), F.col("hidden"), F.col("p_size") % 3 == 0, 30).alias("action"))
+
+
+@query("""with s as (select doc_id, regexp_replace(text, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') as s from documents), h as (select doc_id, s, substr(s, 1, 400) as h from s)
+select doc_id, md5(case when s = '' or contains(s, 'ß') then null when length(s) <= 400 then s else regexp_replace(case when regexp_matches(h, '[.!?…]') then regexp_extract(h, '^((?s:.*)[.!?…]["''”’)]*)', 1) else h end, '[ \\t\\n\\r]+$', '') end) as summary_md5 from h""")
+def valid_summaries(t: Tables) -> DataFrame:
+    """Summaries cut at a sentence end; texts with a letter that stands for leftover script have none."""
+    return t.documents.select("doc_id", F.md5(P.valid_summary(F.col("text"), 400, "ß")).alias("summary_md5"))

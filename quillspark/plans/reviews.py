@@ -89,7 +89,7 @@ def lost_address(t: Tables) -> DataFrame:
 @query("""with p as (select conv_id, turn, text as t, lag(text) over (partition by conv_id order by turn) as s from conversations), q as (select conv_id, turn, s, t, len(regexp_extract_all(s, '[“”「」]')) as quotes,
 len(regexp_extract_all(t, '[.!?]')) as a, len(regexp_extract_all(s, '[。！？]')) as b from p where s is not null and t is not null)
 select conv_id, turn, (regexp_extract_all(s, '\\d+') <> regexp_extract_all(t, '\\d+')) as numbers_changed, (quotes % 2 = 0 and (len(regexp_extract_all(t, '“')) <> len(regexp_extract_all(t, '”')) or len(regexp_extract_all(t, '「')) <> len(regexp_extract_all(t, '」')))) as quotes_uneven,
-len(regexp_extract_all(lower(t), '\\b(the|les|der)\\b'))::int as modern_address, abs(greatest(a, 1) / greatest(b, 1)::double - 2) as off_rhythm from q""")
+len(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x in ('the', 'les', 'der')))::int as modern_address, abs(greatest(a, 1) / greatest(b, 1)::double - 2) as off_rhythm from q""")
 def candidate_faults(t: Tables) -> DataFrame:
     """Faults of each turn as an answer to the one before, with words of the tables as modern ones."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
