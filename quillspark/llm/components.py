@@ -93,7 +93,7 @@ def bucket_roots(members: DataFrame, verify: Callable[[DataFrame], DataFrame], f
     met = few.alias("a").join(few.where("root <> main").alias("b"), (F.col("a.k") == F.col("b.k")) & apart & once & fits("a", "b"))
     big = rest.where(F.col("nodes") > many)
     fine = written(big.join(finer(big.select("k", "node")), ["k", "node"]), "fine-keys")
-    finely = fine.alias("a").join(fine.alias("b"), (F.col("a.k2") == F.col("b.k2")) & (F.col("a.k") == F.col("b.k")) & apart & (F.col("a.node") > F.col("b.node")) & fits("a", "b"))
+    finely = fine.alias("a").join(fine.where("root <> main").alias("b"), (F.col("a.k2") == F.col("b.k2")) & (F.col("a.k") == F.col("b.k")) & apart & once & fits("a", "b"))
     proposed = pairs(met, enough).union(pairs(finely, 1)).distinct()
     links = written(verify(proposed.join(stars, ["u", "v"], "left_anti")), "rest-links")
     for end in ("u", "v"):  # links of nodes become links of the components found so far
