@@ -239,10 +239,18 @@ def similarity_texts(a: str, b: str) -> float:
 
 
 balance_quotes, clean_source, repair_json = _udf(balance_quotes_text), _udf(clean_source_text), _udf(repair_json_text)
-unescape_html, nfkc = _udf(unescape), _udf(lambda s: normalize("NFKC", s))
+nfkc = _udf(lambda s: normalize("NFKC", s))
+unescaped_parts = _udf(lambda a: [unescape(x) for x in a], T.ArrayType(T.StringType()))
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"  # as in Python's html module
 split_sentences = _udf(split_sentences_text, T.ArrayType(T.StringType()))
 
 
+def unescape_html(c: Column) -> Column:
+    """html.unescape() of a column; entities alone go to Python, not the texts around them."""
+    found, c = unescaped_parts(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0))), c.cast("string")
+    return F.when(F.size(found) == 0, c).otherwise(F.array_join(F.zip_with(F.split(c, ENTITY), found, lambda x, e: F.concat(x, F.coalesce(e, F.lit("")))), ""))
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else similarity_texts(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,11 +73,14 @@ def verify(text: Column, script: str = r"\p{L}", least_chars: int = 200, least_s
     return out.otherwise("ok")
 
 
+def _chosen(kind: str, value: str) -> str:
+    name = r"([a-z][a-z0-9]*)"
+    return {"id": rf'<{name}[^>]*\bid="{re.escape(value)}"[^>]*>', "class": rf'<{name}[^>]*\bclass="(?:[^"]*\s)?{re.escape(value)}(?:\s[^"]*)?"[^>]*>', "tag": rf"<({re.escape(value)})\b[^>]*>"}[kind]
+
+
 def inside(html: str, kind: str, value: str) -> str:
     """Raw inside of the element chosen by id, class or tag, to the tag that closes it; empty if there is none."""
-    name = r"([a-z][a-z0-9]*)"
-    chosen = {"id": rf'<{name}[^>]*\bid="{re.escape(value)}"[^>]*>', "class": rf'<{name}[^>]*\bclass="(?:[^"]*\s)?{re.escape(value)}(?:\s[^"]*)?"[^>]*>', "tag": rf"<({re.escape(value)})\b[^>]*>"}[kind]
-    m = re.search(chosen, html, re.I)
+    m = re.search(_chosen(kind, value), html, re.I)
     if not m:
         return ""
     open_tags = 1
@@ -95,12 +98,38 @@ def skeleton_of(html: str, limit: int = 6000) -> str:
     return " ".join(s.split())[:limit]
 
 
-def balanced_block(kind: str, value: str):
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: inside(x, kind, value), na_action="ignore")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate value once for each row and hand it to body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def balanced_block(kind: str, value: str) -> Callable[[Column], Column]:
+    """inside() as native columns, so that no page goes to Python: lengths of the text between tags of that name are added up
+    to the first tag that leaves none open."""
+    chosen = "(?iU)" + _chosen(kind, value)
+
+    def to_close(x: Column) -> Column:
+        tag = F.concat(F.lit("(?iU)</?"), x["name"], F.lit(r"\b[^>]*>"))
+        tags, texts = F.regexp_extract_all(x["rest"], tag, F.lit(0)), F.split(x["rest"], tag)
+        parts = F.zip_with(texts, tags, lambda s, t: F.struct(F.length(s).alias("s"), F.length(t).alias("t"), F.when(F.startswith(t, F.lit("</")), -1).otherwise(1).alias("step")))
+        state = lambda n, at, end: F.struct(n.cast("int").alias("open"), at.cast("int").alias("at"), end.cast("int").alias("end"))
+
+        def step(a: Column, p: Column) -> Column:
+            n, at = a["open"] + p["step"], a["at"] + p["s"]
+            return F.when(p["t"].isNull() | a["end"].isNotNull(), a).otherwise(state(n, at + p["t"], F.when(n == 0, at)))
+
+        end = F.aggregate(parts, state(F.lit(1), F.lit(0), F.lit(None)), step, lambda a: a["end"])
+        return F.substr(x["rest"], F.lit(1), F.coalesce(end, F.length(x["rest"])))
+
+    def behind(html: Column, x: Column) -> Column:
+        rest = F.substr(html, F.position(x["head"], html) + F.length(x["head"]))
+        return F.when(x["head"] == "", "").otherwise(_let(F.struct(rest.alias("rest"), x["name"].alias("name")), to_close))
+
+    def block_of(html: Column) -> Column:
+        found = F.struct(F.regexp_extract(html, chosen, 0).alias("head"), F.regexp_extract(html, chosen, 1).alias("name"))
+        return _let(found, lambda x: behind(html, x))
 
-    return run
+    return block_of
 
 
 @F.pandas_udf(T.StringType())
@@ -110,10 +139,11 @@ def skeleton(s: pd.Series) -> pd.Series:
 
 def diagnose(df: DataFrame, id_col: str, html: str, candidates: Sequence[tuple[str, str]], **limits) -> DataFrame:
     """(id, kind, value): the first candidate selector whose text verifies; null if none does."""
-    tries = [F.struct(F.lit(i).alias("i"), F.lit(k).alias("kind"), F.lit(v).alias("value"), to_text(balanced_block(k, v)(F.col(html))).alias("t")) for i, (k, v) in enumerate(candidates)]
-    rows = df.select(id_col, F.array(*tries).alias("c")).select(id_col, F.explode("c").alias("c")).select(id_col, "c.*")
-    ok = F.when(verify(F.col("t"), **limits) == "ok", F.struct("i", "kind", "value"))
-    return rows.groupBy(id_col).agg(F.min(ok).alias("m")).select(id_col, "m.kind", "m.value")
+    texts = F.array(*(to_text(balanced_block(k, v)(F.col(html))) for k, v in candidates))
+    ok = F.transform(texts, lambda t: F.coalesce(verify(t, **limits) == "ok", F.lit(False)))
+    names = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value")) for k, v in candidates))
+    first = df.select(id_col, F.nullif(F.array_position(ok, F.lit(True)), F.lit(0).cast("long")).cast("int").alias("i")).groupBy(id_col).agg(F.min("i").alias("i"))
+    return first.select(id_col, F.get(names, F.col("i") - 1).alias("m")).select(id_col, "m.kind", "m.value")
 
 
 def toc_normalized(df: DataFrame, group: str, index: str, id_col: str) -> DataFrame:
