@@ -132,6 +132,11 @@ def behind(c: Column, mark: str) -> Column:
     return F.when(at > 0, F.substr(c, at + len(mark))).otherwise(c)
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is told once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _by_site(of: Callable[[str, Template], Column], site: Column) -> Column:
     out = F
     for name, t in TEMPLATES.items():
@@ -205,21 +210,32 @@ def _entry_pattern(novel: Column, pattern: str) -> Column:
 
 
 def _anchors(html: Column, novel: Column, name: str, t: Template) -> Column:
-    """array<struct<a, g, part>> in the order in which entries count: anchors, their pattern's number, 1 for the part before a main list."""
+    """array<struct<id, t, num, locked, part>> in the order in which entries count: what the pattern found in each anchor,
+    1 for the part before a main list. The novel's pattern is matched against a page, not once more against each anchor."""
 
     def all_of(c: Column, i: int, part: int) -> Column:
-        matched = F.regexp_extract_all(c, _entry_pattern(novel, t.entry[i]), F.lit(0))
-        return F.transform(matched, lambda a: F.struct(a.alias("a"), F.lit(i).alias("g"), F.lit(part).alias("part")))
-
-    body = t.body(html) if t.body else html
-    if name == "biquge":
-        heads = F.filter(F.regexp_extract_all(body, F.lit(r"(?s)<dt[^>]*>.*?</dt>"), F.lit(0)), lambda x: F.contains(x, F.lit(MAIN_LIST)))
-        head = F.get(heads, F.lit(0))
+        pattern = _entry_pattern(novel, t.entry[i])
+        of = lambda group: F.regexp_extract_all(c, pattern, F.lit(group))
+        others = [of(t.groups[1]), *([of(t.number)] if t.number else []), *([of(0)] if t.skip else [])]
+        number = lambda k: F.get(others[1], k).cast("long") if t.number else F.lit(None).cast("long")
+        locked = lambda k: F.get(others[-1], k).rlike(t.skip) if t.skip else F.lit(False)
+        return F.transform(of(t.groups[0]), lambda x, k: F.struct(x.alias("id"), F.get(others[0], k).alias("t"), number(k).alias("num"), locked(k).alias("locked"), F.lit(part).alias("part")))
+
+    def split(body: Column, head: Column) -> Column:
         at = F.position(head, body)
-        main = F.concat(all_of(F.substr(body, at + F.length(head)), 0, 1), F.reverse(all_of(F.substr(body, F.lit(1), at - 1), 0, 1)))
-        return F.when(F.size(heads) > 0, main).otherwise(all_of(body, 0, 0))
-    first = all_of(body, 0, 0)
-    return first if len(t.entry) == 1 else F.when(F.size(first) > 0, first).otherwise(all_of(body, 1, 0))
+        behind_it, before = F.substr(body, at + F.length(head)), F.substr(body, F.lit(1), at - 1)
+        main = F.concat(_once(behind_it, lambda c: all_of(c, 0, 1)), F.reverse(_once(before, lambda c: all_of(c, 0, 1))))
+        return F.when(head.isNotNull(), main).otherwise(all_of(body, 0, 0))
+
+    def of_body(body: Column) -> Column:
+        if name == "biquge":
+            heads = F.filter(F.regexp_extract_all(body, F.lit(r"(?s)<dt[^>]*>.*?</dt>"), F.lit(0)), lambda x: F.contains(x, F.lit(MAIN_LIST)))
+            return _once(F.get(heads, F.lit(0)), lambda head: split(body, head))
+        if len(t.entry) == 1:
+            return all_of(body, 0, 0)
+        return _once(all_of(body, 0, 0), lambda first: F.when(F.size(first) > 0, first).otherwise(all_of(body, 1, 0)))
+
+    return _once(t.body(html) if t.body else html, of_body)
 
 
 def toc_entries(pages: DataFrame, html: str = "html", site: str = "site", novel: str = "novel", page: str = "page") -> DataFrame:
@@ -230,11 +246,8 @@ def toc_entries(pages: DataFrame, html: str = "html", site: str = "site", novel:
     are decoded and trimmed; entries of locked chapters are left out. A page without entries gives no rows, see toc_state().
     """
     s, n = F.col(site), F.col(novel).cast("string")
-    rows = pages.select(site, novel, page, n.alias("_n"), F.posexplode(_by_site(lambda name, t: _anchors(F.col(html), n, name, t), s)).alias("_pos", "_e"))
-    group = lambda of: _by_site(lambda _, t: F.coalesce(*(F.when(F.col("_e.g") == g, found(F.col("_e.a"), _entry_pattern(F.col("_n"), p), of(t))) for g, p in enumerate(t.entry))), s)
-    number = _by_site(lambda _, t: found(F.col("_e.a"), _entry_pattern(F.col("_n"), t.entry[0]), t.number).cast("long") if t.number else F.lit(None).cast("long"), s)
-    locked = _by_site(lambda _, t: F.col("_e.a").rlike(t.skip) if t.skip else F.lit(False), s)
-    rows = rows.where(~locked).select(site, novel, page, "_pos", F.col("_e.part").alias("_part"), group(lambda t: t.groups[0]).alias("_id"), group(lambda t: t.groups[1]).alias("_t"), number.alias("_num"))
+    rows = pages.select(site, novel, page, F.posexplode(_by_site(lambda name, t: _anchors(F.col(html), n, name, t), s)).alias("_pos", "_e"))
+    rows = rows.where(~F.col("_e.locked")).select(site, novel, page, "_pos", F.col("_e.part").alias("_part"), F.col("_e.id").alias("_id"), F.col("_e.t").alias("_t"), F.col("_e.num").alias("_num"))
     rows = rows.withColumn("_t", trim_unicode(_decoded(F.array(F.regexp_replace("_t", r"<[^>]+>", "")))[0])).where("_t <> '' and _id <> ''")
     first = (F.col("_part") == 1) | _by_site(lambda _, t: F.lit(t.keep == "first"), s)
     at = F.struct(page, "_pos", "_num", "_t")
