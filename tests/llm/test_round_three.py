@@ -310,3 +310,33 @@ def test_rarest_tokens_in_parts(spark):
         want += [(k, n, t) for n, x in held.items() for t in sorted(x, key=lambda t: (times(t), t))[:2] if times(t) > 1]
     assert got[0] == got[1] == sorted(want)
     assert components.rarest_tokens(rows.limit(0), tokens.limit(0)).count() == 0
+
+
+def test_second_keys_of_large_keys_are_the_same(spark, monkeypatch):
+    """pipeline, op2: keys that no task may hold get the second keys of those that are sorted in one; tokens of any sign."""
+    from quillspark.llm import components
+
+    rows = spark.createDataFrame([(k, n) for k in (3, 8) for n in range(k, 40)], "k long, node long")
+    tokens = spark.createDataFrame([(n, [n % 3 - 1, 10 + n % 4, 20 + n % 2, -30 - n], 1 + n % 3) for n in range(40)], "node long, tokens array<int>, most int")
+    got = []
+    for together in (1 << 23, 140, 0):
+        monkeypatch.setattr(components, "TOGETHER", together)
+        got.append(sorted(map(tuple, components.rarest_tokens(rows, tokens, 2).collect())))
+    assert len(got[0]) > 50 and got[0] == got[1] == got[2]
+
+
+def test_line_groups_leave_no_intermediate_tables(spark):
+    """pipeline, op2: tables that no later step reads are gone; before, keys, lines and members of all steps stayed on disk."""
+    import os
+
+    from quillspark.llm import line_dedup as L
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    common = " ".join(f"common{i}" for i in range(20))
+    own = F.concat_ws(" ", *(F.substring(F.md5(F.concat(F.lit(c), F.floor(F.col("id") / 2).cast("string"))), 1, 9) for c in "abcdefghijklmnopqrst"))
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(common), own, F.concat(F.lit("end"), F.col("id"))).alias("text"))
+    out, count = L.dedup_lines(docs)
+    assert out.where(f"{count} = 1").count() == 50
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert not left & {"line-keys", "lines", "lines-of-large-keys", "line-members", "unlinked", "tokens", "fine-keys", "fine-pairs"}, left
