@@ -38,7 +38,7 @@ SENSES = {
 }
 HAN = "一-鿿㐀-䶿"
 SENTENCE_ENDS = ".!?。！？;；\n"
-_RUN, _ONE = re.compile(f"[{HAN}]+"), re.compile(f"[{HAN}]")
+_RUN, _ONE, _SENSES = re.compile(f"[{HAN}]+"), re.compile(f"[{HAN}]"), re.compile("|".join(map(re.escape, SENSES)))
 
 
 def sense(text: str, start: int, end: int, s: Sense) -> str:
@@ -86,10 +86,12 @@ def by_glossary(text: str, automaton, group=None) -> tuple[str, int]:
 def by_readings(text: str, readings: dict[str, str]) -> tuple[str, int]:
     """text with what is left of the script read character by character, and how many characters were; unknown ones stay,
     words of two senses take theirs."""
+    if not _SENSES.search(text):
+        return _by_runs(text, readings)
     places, n = [], 0
     for run in _RUN.finditer(text):
         at = run.start()
-        for word in (*re.finditer("|".join(map(re.escape, SENSES)), run[0]), None):
+        for word in (*_SENSES.finditer(run[0]), None):
             end = run.start() + word.start() if word else run.end()
             if raw := text[at:end]:
                 n += sum(c in readings for c in raw)
@@ -101,6 +103,25 @@ def by_readings(text: str, readings: dict[str, str]) -> tuple[str, int]:
     return put(text, places), n
 
 
+def _by_runs(text: str, readings: dict[str, str]) -> tuple[str, int]:
+    """by_readings of a text without words of two senses: no place touches another, and equal runs are read once."""
+    known, n = {}, 0
+
+    def read(run: re.Match) -> str:
+        nonlocal n
+        raw, (start, end) = run[0], run.span()
+        if raw not in known:
+            new = " ".join(readings.get(c, c) for c in raw)
+            known[raw] = new, sum(c in readings for c in raw), new[:1].isalnum(), new[-1:].isalnum()
+        new, times, lead, trail = known[raw]
+        n += times
+        lead = lead and start > 0 and text[start - 1].isalnum()
+        trail = trail and text[end : end + 1].isalnum()
+        return f"{' ' * lead}{new}{' ' * trail}"
+
+    return re.sub(r"[ \t]{2,}", " ", _RUN.sub(read, text)), n
+
+
 def without_leftovers(lines: DataFrame, text: str, terms: DataFrame, readings: DataFrame, group: str | None = None) -> DataFrame:
     """lines with `text` replaced, and by_terms, by_reading (how many terms and characters) and left (whether script is left).
 
