@@ -340,3 +340,40 @@ def test_line_groups_leave_no_intermediate_tables(spark):
     assert out.where(f"{count} = 1").count() == 50
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
     assert not left & {"line-keys", "lines", "lines-of-large-keys", "line-members", "unlinked", "tokens", "fine-keys", "fine-pairs"}, left
+
+
+def test_keys_of_one_passage_meet_once(spark, monkeypatch):
+    """pipeline, op2: the keys of one passage become one, a pair is verified once; before, each pair met once a key, word and part."""
+    from quillspark.llm import components
+
+    held = [(k, n) for k in range(60) for n in range(100) if (n * 7 + k) % 40] + [(k, n) for k in range(60, 64) for n in range(200 + k, 300)]
+    rows = spark.createDataFrame([(k, n, k + n, n % 9 if n % 3 else 0, 0) for k, n in held], "k long, node long, place int, root long, main long")
+    got = components.merged_keys(rows, F.col("k").bitwiseAND(1) == 1, {"place": F.lit(255)}).collect()
+    nodes, olds = {}, {}
+    for r in got:
+        nodes.setdefault(r["k"], {})[r["node"]] = r
+    for k, n in held:
+        olds.setdefault(k, set()).add(n)
+    assert all(any(old <= set(new) and k % 2 == new_k % 2 for new_k, new in nodes.items()) for k, old in olds.items())
+    assert len(got) == sum(map(len, nodes.values())) < len(held) / 5
+    assert all(r["place"] == 255 or (r["place"] - r["node"], r["node"]) in held for r in got)
+    for new in nodes.values():
+        roots = [r["root"] for r in new.values()]
+        assert {roots.count(r["main"]) for r in new.values()} == {max(map(roots.count, roots))}
+
+    rng, passage, counts, put = random.Random(5), [f"common{i}" for i in range(30)], {}, components.written
+
+    def counted(df, name):
+        out = put(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    own = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    lines = []
+    for _ in range(100):
+        base = passage + rng.sample(own, 20)
+        lines += [" ".join(base), " ".join(with_edits(base, (31, 34, 37, 40, 43, 46, 49), rng))]
+    out, count = line_dedup.dedup_lines(docs_of(spark, lines))
+    assert {r["doc_id"] for r in out.where(f"{count} > 0").collect()} >= set(range(1, len(lines), 2))
+    assert len(counts["fine-links"]) == 1 and 0 < sum(counts["fine-keys"]) <= 200 * 25 and len(counts["fine-pairs"]) <= 2, counts
