@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 from html import unescape
 from unicodedata import normalize
 
@@ -256,16 +257,78 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else similarity_texts(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def similarity_from(least: float):
-    """similarity, null below least; two cheap upper bounds settle most pairs before blocks are matched."""
-
-    def one(a: str, b: str) -> float | None:
+def character_places(text: str) -> dict[str, int]:
+    """Of each character the bits of its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_length(places: dict[str, int], size: int, y: str) -> int:
+    """Length of the longest common subsequence of y and a text of that size, of which places has the character_places.
+
+    One addition a character of y over the bits of the whole text (Hyyro 2004).
+    """
+    left = (1 << size) - 1
+    for c in y:
+        if met := left & places.get(c, 0):
+            left = (left + met) | (left - met)
+    return size - (left & (1 << size) - 1).bit_count()
+
+
+def matched_length(x: str, y: str, q: int = 6) -> int:
+    """Characters in the blocks that SequenceMatcher matches without junk, ties as there.
+
+    Blocks of q characters or more are found by runs of q, of which few places of y have the same; other gaps are left to it.
+    """
+    places: dict[str, list[int]] = {}
+    for j in range(len(y) - q + 1):
+        places.setdefault(y[j : j + q], []).append(j)
+    total, left = 0, [(0, len(x), 0, len(y))]
+    while left:
+        x0, x1, y0, y1 = left.pop()
+        best, at, to, ends = 0, 0, 0, {}
+        for i in range(x0, x1 - q + 1):
+            now = {}
+            for j in places.get(x[i : i + q], ()):
+                if j > y1 - q:
+                    break
+                if j >= y0:
+                    now[j] = n = ends.get(j - 1, 0) + 1
+                    if n > best:
+                        best, at, to = n, i - n + 1, j - n + 1
+            ends = now
+        if best:
+            size = best + q - 1
+            total += size
+            left += [(x0, at, y0, to), (at + size, x1, to + size, y1)]
+        elif x0 < x1 and y0 < y1:
+            total += sum(b.size for b in SequenceMatcher(None, x[x0:x1], y[y0:y1], autojunk=False).get_matching_blocks())
+    return total
+
+
+def similarity_from(least: float, long: int = 10_000):
+    """similarity, null below least; upper bounds settle most pairs before blocks are matched.
+
+    Matched blocks are a common subsequence, so the longest one bounds the ratio; of texts beyond `long` characters the
+    characters in common do.
+    """
+
+    def one(a: str, b: str, places) -> float | None:
         x, y = ("".join(t.split()).lower() for t in (a, b))
-        m = SequenceMatcher(None, x, y, autojunk=False)
-        return r if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least else None
+        total = len(x) + len(y)
+        if total and 2.0 * min(len(x), len(y)) / total < least:
+            return None
+        if total and len(y) <= long and 2.0 * common_length(places(y), len(y), x) / total < least:
+            return None
+        if len(y) > long and SequenceMatcher(None, x, y, autojunk=False).quick_ratio() < least:
+            return None
+        return r if (r := 2.0 * matched_length(x, y) / total if total else 1.0) >= least else None
 
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        places = lru_cache(maxsize=32)(character_places)
+        return pd.Series([None if x is None or y is None else one(x, y, places) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return run
+    return run.asNondeterministic()  # else a filter on it is pushed down and it runs twice

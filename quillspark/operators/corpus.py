@@ -136,10 +136,11 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, min_length:
     from quillspark.functions.text import similarity_from
 
     rows = df.where(F.length(text_col) >= min_length).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    grams = rows.select("i", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(head)) - 3, F.lit(step)), lambda p: F.substr(F.col("t"), p, F.lit(4))))).alias("g"))
-    small = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, block)).select("g")
-    kept = grams.join(small, "g")
-    pairs = kept.alias("x").join(kept.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i"))).select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
-    both = pairs.join(rows.select(F.col("i").alias("a"), F.col("t").alias("s")), "a").join(rows.select(F.col("i").alias("b"), F.col("t").alias("u")), "b").where("s <> u")
-    both = both.where(2 * F.least(F.length("s"), F.length("u")) >= least * (F.length("s") + F.length("u")))
+    grams = rows.select("i", F.length("t").alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(head)) - 3, F.lit(step)), lambda p: F.substr(F.col("t"), p, F.lit(4))))).alias("g"))
+    small = grams.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m").between(2, block)).select("g")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows that take long: not to be dealt by their bytes
+    kept = grams.join(small, "g").repartition(tasks, "g")
+    lengths = 2 * F.least("x.n", "y.n") >= least * (F.col("x.n") + F.col("y.n"))
+    pairs = kept.alias("x").join(kept.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.i") < F.col("y.i")) & lengths).select(F.col("x.i").alias("a"), F.col("y.i").alias("b")).distinct()
+    both = pairs.join(rows.select(F.col("i").alias("a"), F.col("t").alias("s")), "a").repartition(tasks, "b").join(rows.select(F.col("i").alias("b"), F.col("t").alias("u")), "b").where("s <> u")
     return both.select("a", "b", similarity_from(least)("s", "u").alias("ratio")).where("ratio is not null")
