@@ -93,7 +93,7 @@ md5(coalesce(regexp_replace(regexp_replace(r.text, '[ \\t]{{2,}}', ' ', 'g'), '^
 def restore_terms(t: Tables) -> DataFrame:
     """Translated lines with all their terms, and the family of codes that saved them."""
     held = G.with_held_terms(lines(t), glossary(t), "source", keys=("doc_id", "line"))
-    return G.guarded(held, "source", damaging).select("doc_id", "line", "way", F.md5("guarded").alias("guarded_md5"))
+    return G.guarded(held, "source", damaging, keep=("doc_id", "line")).select("doc_id", "line", "way", F.md5("guarded").alias("guarded_md5"))
 
 
 @query(GLOSSARY_SQL + """, o as (select doc_id, line, term, unnest(list_filter(range(0, length(source) - length(term) + 1), lambda i: source[i + 1 : i + length(term)] = term)) as s from h),
